@@ -1 +1,5 @@
+"""Query plans over the registered tables."""
 
+from . import activity
+
+MODULES = [activity]
