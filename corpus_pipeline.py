@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import exact_dedup, language_id, mixing, ngram_jaccard
+from sluice.llm import exact_dedup, language_id, mixing, ngram_jaccard, piece_lattice
 from sluice.llm.common import materialize
 
 
@@ -30,11 +30,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select(*docs.columns)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return piece_lattice.encode_documents(docs, docs.columns)
+
+
 STAGES = [
     ("language_id", identify_language),
     ("exact_dedup", drop_exact_copies),
     ("ngram_jaccard", drop_near_copies),
     ("source_mixing", mix_sources),
+    ("sentencepiece", encode_pieces),
 ]
 
 #: A trained language model and an A* search can't be written in SQL; tests/llm compares the pipeline with brute force.

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, ngram_jaccard
+from . import exact_dedup, language_id, lm_scoring, media, mixing, ngram_jaccard, piece_lattice, token_counts, token_output, url_filters
+from .common import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,35 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", "copies", "shuffle_key", "text")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the N-best encoding: the ids' number and SHA-256, the best score, the losses and changes of the next
+    best, and whether decoding restored the text."""
+    rows = piece_lattice.encode_documents(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return rows.select("doc_id", "n_pieces", F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), "score", "nbest_losses", F.to_json("nbest_changes").alias("nbest_changes"), "restored")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after two commits: all documents are inserted with provisional counts (a token per four bytes), and then
+    revised to the exact ones under each tokenizer, in a batch that is replayed once."""
+    counted = materialize(token_counts.count_tokens(_table(spark, sf_dir, "documents"), ["source", "lang"]), "token-counts")
+    guess = F.transform("counts", lambda c: F.struct(c["tokenizer"].alias("tokenizer"), F.ceil(F.col("n_bytes") / 4).alias("tokens")))
+    provisional = counted.withColumn("counts", guess)
+    rollup = token_counts.TokenRollup(spark)
+    rollup.commit("insert", token_counts.changes(provisional))
+    for _ in range(2):
+        rollup.commit("revise", token_counts.revisions(provisional, counted))
+    return rollup.totals()
+
+
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.write_training_order(_table(spark, sf_dir, "documents"))[0]
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, *lm_scoring.train(docs), keep=["doc_id"])
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
     model = language_id.train(docs.where(~F.col("held_out")))
@@ -27,10 +57,19 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filters.RULES, "host string, path string, verdict string")
+    return url_filters.judge(_table(spark, sf_dir, "pages"), rules, ["page_id"])
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(_table(spark, sf_dir, "documents")).drop("raw")
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_columns(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -62,5 +101,15 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 
+_URL_SQL = r"""
+WITH rules(h, p, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+hits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN hits ON u.page_id = hits.page_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": _MIX_SQL, "op9_exact_dedup": _DEDUP_SQL}
+    return {"op8_url_filters": _URL_SQL, "op1_source_mixing": _MIX_SQL, "op9_exact_dedup": _DEDUP_SQL}
