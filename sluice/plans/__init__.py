@@ -1,5 +1,5 @@
 """Query plans over the registered tables."""
 
-from . import activity
+from . import activity, joins, statistics
 
-MODULES = [activity]
+MODULES = [activity, joins, statistics]
