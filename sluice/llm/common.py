@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +18,25 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 1 << 20
 
 
+_SHIPPED: set[str] = set()
+
+
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """mapInArrow, once the executors have this package."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="sluice-package-")  # the driver serves the file as long as it runs
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        target = Path(folder, f"{root.name}-package.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(target))
+        _SHIPPED.add(sc.applicationId)
+    return df.mapInArrow(fn, schema)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder all executors share. It is the session's spark.checkpoint.dir; a temporary one only where that is unset."""
     sc = spark.sparkContext

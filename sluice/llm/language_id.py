@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer
+from .common import map_arrow, slices, text_buffer
 
 ORDER = 4
 DOCS_PER_LANG = 200
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, model: PpmModel, text_col: str = "text", keep: lis
             yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
 
     schema = held.drop("__text").schema.add("lang_pred", "string").add("score", "double")
-    return held.mapInArrow(run, schema)
+    return map_arrow(held, run, schema)
 
 
 def accept(docs: DataFrame, model: PpmModel, text_col: str = "text", languages: list[str] | None = None) -> DataFrame:
@@ -246,7 +246,7 @@ def accept(docs: DataFrame, model: PpmModel, text_col: str = "text", languages:
             langs, _ = score_batch(shared.value, b.column(at))
             yield b.filter(pa.array([x != UNKNOWN and (languages is None or x in languages) for x in langs], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

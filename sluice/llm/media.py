@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import text_buffer
+from .common import map_arrow, text_buffer
 
 WIDTH = 64
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
@@ -180,7 +180,7 @@ def decode_column(df: DataFrame, image_col: str, keep: list[str], height: int =
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[*b.schema.names[:-1], "height", "width", "channels", "dhash", "tile"])
 
-    return held.mapInArrow(run, StructType([*held.drop("__image").schema.fields, *StructType.fromDDL(DECODED).fields]))
+    return map_arrow(held, run, StructType([*held.drop("__image").schema.fields, *StructType.fromDDL(DECODED).fields]))
 
 
 def text_media(raw: bytes) -> bytes:
@@ -222,4 +222,4 @@ def text_columns(docs: DataFrame, keep: list[str], text_col: str = "text", with_
                     rows.append(row)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names=[*b.schema.names[:-1], *schema.names])
 
-    return held.mapInArrow(run, StructType([*held.drop("__text").schema.fields, *schema.fields]))
+    return map_arrow(held, run, StructType([*held.drop("__text").schema.fields, *schema.fields]))

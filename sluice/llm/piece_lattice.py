@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import mix64, slices, text_buffer
+from .common import map_arrow, mix64, slices, text_buffer
 
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -429,4 +429,4 @@ def encode_documents(docs: DataFrame, keep: list[str], text_col: str = "text", n
                 ]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], "ids", "n_pieces", "score", "nbest_losses", "nbest_changes", "restored"])
 
-    return held.mapInArrow(run, StructType([*held.drop("__text").schema.fields, *StructType.fromDDL(ENCODED).fields]))
+    return map_arrow(held, run, StructType([*held.drop("__text").schema.fields, *StructType.fromDDL(ENCODED).fields]))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import drop_path, scratch_path
+from .common import drop_path, map_arrow, scratch_path
 from .tokens import TOKENIZERS, BpeEncoder, text_slices
 
 GROUP = ["source", "lang", "tokenizer"]
@@ -44,7 +44,7 @@ def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", token
                 size = pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], size, pa.array(counts, kind)], names=[*b.schema.names[:-1], "n_bytes", "counts"])
 
-    return held.mapInArrow(run, StructType([*held.drop("__text").schema.fields, *StructType.fromDDL("n_bytes long, counts array<struct<tokenizer:string,tokens:long>>").fields]))
+    return map_arrow(held, run, StructType([*held.drop("__text").schema.fields, *StructType.fromDDL("n_bytes long, counts array<struct<tokenizer:string,tokens:long>>").fields]))
 
 
 def changes(counted: DataFrame, sign: int = 1) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, scratch_path, shuffle_partitions
+from .common import map_arrow, materialize, mix64, scratch_path, shuffle_partitions
 from .tokens import END_OF_TEXT, TOKENIZERS, BpeEncoder, text_slices
 
 LENGTH = 2048
@@ -226,12 +226,12 @@ def write_training_order(docs: DataFrame, path: str | None = None, tokenizer: st
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if not _stable(rows):
         rows = materialize(rows, "ordered-input")
-    sizes = {r.part: r.ids for r in rows.mapInArrow(_sizes(tokenizer), "part long, ids long").collect()}  # one row a partition
+    sizes = {r.part: r.ids for r in map_arrow(rows, _sizes(tokenizer), "part long, ids long").collect()}  # one row a partition
     base, n = {}, 0
     for part in sorted(sizes):
         base[part] = (n, sizes[part])
         n += -(-sizes[part] // length)
     shards = min(shards or shuffle_partitions(spark), max(n, 1))
-    seqs = rows.mapInArrow(_sequences(tokenizer, base, n, shards, length, key), SEQUENCE) if n else spark.createDataFrame([], SEQUENCE)
+    seqs = map_arrow(rows, _sequences(tokenizer, base, n, shards, length, key), SEQUENCE) if n else spark.createDataFrame([], SEQUENCE)
     laid = seqs.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-    return materialize(laid.mapInArrow(_writer(path, n, shards, length), WRITTEN), "shard-manifest"), path, n, shards
+    return materialize(map_arrow(laid, _writer(path, n, shards, length), WRITTEN), "shard-manifest"), path, n, shards

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from .common import materialize, shuffle_partitions
+from .common import map_arrow, materialize, shuffle_partitions
 
 DEFAULT = "allow"
 #: Sampled keys a cut; a sample is this many times the partitions.
@@ -120,7 +120,7 @@ def _bucketed(df: DataFrame, cuts: list[tuple[str, str]], high: bool) -> DataFra
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "bucket", "last"][: b.num_columns + len(cols)])
 
     schema = StructType(list(df.schema.fields)).add("bucket", IntegerType())
-    return df.mapInArrow(run, schema.add("last", IntegerType()) if high else schema)
+    return map_arrow(df, run, schema.add("last", IntegerType()) if high else schema)
 
 
 def judge(pages: DataFrame, rules: DataFrame, keep: list[str], url_col: str = "url", partitions: int | None = None) -> DataFrame:
@@ -144,4 +144,4 @@ def judge(pages: DataFrame, rules: DataFrame, keep: list[str], url_col: str = "u
     marks = marks.select("bucket", "__key", F.lit(0).alias("kind"), "__path", "rule", "verdict", *nulls)
     rows = _bucketed(held, cuts, False).select("bucket", "__key", F.lit(1).alias("kind"), "__path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), *keep, "host", "path")
     laid = marks.union(rows).repartition(n, "bucket").sortWithinPartitions("bucket", "__key", "kind", "__path")
-    return laid.mapInArrow(_sweep(len(keep)), StructType([*held.drop("__key", "__path").schema.fields, *StructType.fromDDL(OUT).fields]))
+    return map_arrow(laid, _sweep(len(keep)), StructType([*held.drop("__key", "__path").schema.fields, *StructType.fromDDL(OUT).fields]))
