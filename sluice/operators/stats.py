@@ -110,7 +110,7 @@ def chi_square_p(df: DataFrame, statistic: str = "chi2", dof: str = "dof", out:
 
 def benjamini_hochberg(df: DataFrame, family: list[str], p: str = "p_value", out: str = "p_adjusted", tie: list[str] | None = None) -> DataFrame:
     """False-discovery-rate adjusted p-values within each family; null stays null."""
-    clean = F.when(~F.isnan(p), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(p).cast("double"))))
+    clean = F.when(F.col(p).isNotNull() & ~F.isnan(p), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(p).cast("double"))))
     have, none = df.withColumn("__p", clean).where("__p is not null"), df.withColumn("__p", clean).where("__p is null")
     m = F.count(F.lit(1)).over(W.partitionBy(*family))
     rank = F.rank().over(W.partitionBy(*family).orderBy("__p")) + F.count(F.lit(1)).over(W.partitionBy(*family, "__p")) - 1

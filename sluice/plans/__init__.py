@@ -1,5 +1,5 @@
 """Query plans over the registered tables."""
 
-from . import activity, joins, statistics
+from . import activity, joins, normalize, statistics
 
-MODULES = [activity, joins, statistics]
+MODULES = [activity, joins, statistics, normalize]
