@@ -1,5 +1,5 @@
 """Query plans over the registered tables."""
 
-from . import activity, joins, normalize, statistics
+from . import activity, joins, normalize, statistics, streams
 
-MODULES = [activity, joins, statistics, normalize]
+MODULES = [activity, joins, statistics, normalize, streams]
