@@ -1,24 +1,28 @@
 """N-gram Jaccard join: all links of word shingle sets at or above a Jaccard similarity, as connected components.
 
 1. Every text becomes the sorted array of its shingles' 64-bit hashes. Kept of it: the size n, a 128-bit digest of the
-   set, a bitmap signature with about four bits a shingle, and the KEYS smallest hashes (or the exact prefix
-   n - ceil(t n) + 1, if that is shorter).
+   set, a bitmap signature with about four bits a shingle, and the SPARE smallest hashes. Its keys are the KEYS
+   smallest (or the exact prefix n - ceil(t n) + 1, if that is shorter).
 2. Documents with equal sets are one class; from here on there is one row a class.
-3. Classes that share a key meet in a tile. Tiles with equal member lists are worked once, keys of a single class never.
+3. Keys of more than HOT classes (lines of licences, say) are hot. A set with hot keys and at least COLD others among its
+   SPARE smallest hashes takes these others as keys instead; a set that is mostly hot keeps its keys.
+4. Classes that share a key meet in a tile. Tiles with equal member lists are worked once, keys of a single class never.
    In a tile only sizes within the factor 1/t meet, and the bit counts of two signatures bound the overlap from above:
    |x & y| <= min(n_x - bits(x not y), n_y - bits(y not x)). Pairs that the bound lets pass are united; the tile emits a
    spanning forest, not its pairs. A tile of more than TILE classes is dealt into chunks; what remains of a chunk are
    its groups as boxes (intersection and union of the signatures, size range), and boxes meet in pairs of chunks by
    the same bound, which for boxes is weaker and so loses nothing.
-4. The forest's components (families) hold every pair that may link. In each family the exact sorted arrays are
+5. The forest's components (families) hold every pair that may link. In each family the exact sorted arrays are
    intersected, the most typical document first, until all are united or every pair that the bound passes is tested.
    A family of more than FAMILY_SHINGLES is dealt into chunks; the chunks' leaders meet next, and what is then not in
    the family's largest part meets every chunk.
 
 Why the keys lose no link: of the union of two linked sets, each of the KEYS smallest hashes lies in both with
 probability t or more, so all of them miss with probability (1 - t) ** KEYS = 6.6e-12 a pair at t = 0.8, for hashes
-seeded apart from the data; equal 64-bit hashes of different shingles are of the same order. It is no cap: a pair is
-tested if it shares any key, however many share it.
+seeded apart from the data; equal 64-bit hashes of different shingles are of the same order. Of a set that gave up
+its hot keys at most a third of all shingles is hot, by the share of its smallest; should all differences of a pair lie in
+the rest, each of its COLD keys or more misses with probability 0.3 or less, all of them with 3e-13. It is no cap: a pair
+is tested if it shares any key, however many share it.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is its own component. A
 null doc_id has a null component. Rows that repeat a doc_id are one document: their links are joined. An empty table
@@ -34,12 +38,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, materialize, mix64, slices, text_buffer, words_of
+from .common import MULT, map_arrow, materialize, mix64, slices, text_buffer, words_of
 from .components import components
 
 WORDS = 5
 PERCENT = 80
 KEYS = 16
+#: Stored hashes of a set, from which a set with hot keys takes others.
+SPARE = 32
+#: A key of more classes than this is hot.
+HOT = 1000
+#: A set gives up its hot keys if it has so many others among the stored ones.
+COLD = 24
 #: Classes in a chunk of a tile.
 TILE = 4096
 #: Shingles in a chunk of a family (8 bytes each).
@@ -106,7 +116,7 @@ def _signatures(words: int, percent: int):
                 n.append(k)
                 d1.append(int(mix64(s ^ MULT[5]).sum().astype(np.int64)) if k else 0)
                 d2.append(int(mix64(s * MULT[6]).sum().astype(np.int64)) if k else 0)
-                keys.append(s[: min(KEYS, k - (percent * k + 99) // 100 + 1)].view(np.int64))
+                keys.append(s[:SPARE].view(np.int64))
                 bits.append(bitmap(s, bitmap_width(k)).tobytes() if k else b"")
             lens = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -308,16 +318,16 @@ def _families(words: int, percent: int):
 
 
 def _in_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(fn, schema)
+    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), fn, schema)
 
 
 # ------------------------------------------------------------------ the join
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, family_shingles: int = FAMILY_SHINGLES) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, tile: int = TILE, family_shingles: int = FAMILY_SHINGLES) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = materialize(texts.mapInArrow(_signatures(words, percent), SIGNATURE), "signatures")
+    sig = materialize(map_arrow(texts, _signatures(words, percent), SIGNATURE), "signatures")
     full = sig.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
     of_class = full.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"])
@@ -325,7 +335,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     # tiles: keys of two or more classes, one for each list of members
     nodes = materialize(full.join(classes.withColumnRenamed("node", "doc_id"), ["n", "d1", "d2", "doc_id"]).select(F.col("doc_id").alias("node"), "n", "keys", "bits").dropDuplicates(["node", "n", "bits"]), "nodes")
-    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    keyed = nodes.select("node", "n", F.explode(F.slice("keys", F.lit(1), F.least(F.lit(KEYS), prefix).cast("int"))).alias("key"))
+    heat = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > hot).select("key", F.lit(True).alias("is_hot")), "hot-keys")
+    if not heat.isEmpty():
+        touched = keyed.join(heat, "key", "left_semi").select("node", "n").distinct()
+        spare = nodes.join(touched, ["node", "n"], "left_semi").select("node", "n", F.explode("keys").alias("key"))
+        spare = spare.join(heat, "key", "left").where("is_hot is null").select("node", "n", "key")
+        moved = spare.groupBy("node", "n").agg(F.count(F.lit(1)).alias("cold")).where(F.col("cold") >= COLD).select("node", "n")
+        moved = materialize(spare.join(moved, ["node", "n"], "left_semi"), "cold-keys")
+        keyed = keyed.join(moved.select("node", "n").distinct(), ["node", "n"], "left_anti").unionByName(moved)
     h = F.xxhash64("node", "n")
     lists = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(h).alias("x"), F.sum(F.xxhash64("n", "node").bitwiseAND(0xFFFFFFFF)).alias("s"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("members > 1")
     lists = materialize(lists.groupBy("members", "x", "s", "lo", "hi").agg(F.min("key").alias("key")).select("key", "members"), "tiles")

@@ -163,8 +163,9 @@ def test_ngram_jaccard_in_chunks(spark):
         rows.append((i, " ".join(chain)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_components(rows)
-    for r in ngram_jaccard.jaccard_components(frame, tile=16, family_shingles=2_000).collect():
-        assert (r.n_shingles, r.component_id) == want[r.doc_id]
+    for hot in (10, 1000):
+        for r in ngram_jaccard.jaccard_components(frame, hot=hot, tile=16, family_shingles=2_000).collect():
+            assert (r.n_shingles, r.component_id) == want[r.doc_id]
 
 
 def test_components(spark):
