@@ -1,5 +1,5 @@
 """Query plans over the registered tables."""
 
-from . import activity, joins, normalize, statistics, streams
+from . import activity, joins, normalize, reports, statistics, streams
 
-MODULES = [activity, joins, statistics, normalize, streams]
+MODULES = [activity, joins, statistics, normalize, streams, reports]
