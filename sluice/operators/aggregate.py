@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,3 +106,36 @@ def balance(df: DataFrame, dim: str) -> DataFrame:
     n = df.groupBy(dim).agg(F.count(F.lit(1)).cast("double").alias("n"))
     out = n.agg(F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"), F.count("n").alias("k"))
     return out.select("min", "max", "mean", "std", (F.col("std") / F.col("mean")).alias("cv"), (F.col("k") * F.col("std") * F.col("std") / F.col("mean")).alias("chi2"))
+
+
+def lift_segments(shares: list[float], least: float = 6.0) -> list[float]:
+    """Heights that sum to 100 in proportion to the shares, none that is not zero below `least`."""
+    live = [i for i, x in enumerate(shares) if x > 0]
+    if least * len(live) >= 100:
+        return [100.0 / len(live) if x > 0 else 0.0 for x in shares]
+    out = [0.0] * len(shares)
+    space = 100.0
+    while live:
+        scale = space / sum(shares[i] for i in live)
+        low = [i for i in live if shares[i] * scale < least]
+        if not low:
+            for i in live:
+                out[i] = shares[i] * scale
+            break
+        for i in low:
+            out[i] = least
+        space -= least * len(low)
+        live = [i for i in live if i not in low]
+    return out
+
+
+def lifted_shares(df: DataFrame, group: list[str], label: str, n: str, least: float = 6.0) -> DataFrame:
+    """Adds the share (0 to 100) and its lifted height; labels of a group are few, so a group is an array."""
+    @F.pandas_udf("array<double>")
+    def lift(s: pd.Series) -> pd.Series:
+        return s.map(lambda xs: lift_segments(list(xs), least))
+
+    g = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(label, n))).alias("__r"), F.sum(n).alias("__t"))
+    g = g.withColumn("__s", F.transform("__r", lambda x: x[n] * F.lit(100.0) / F.col("__t"))).withColumn("__h", lift("__s"))
+    rows = g.select(*group, F.explode(F.arrays_zip("__r", "__s", "__h")).alias("z"))
+    return rows.select(*group, F.col(f"z.__r.{label}").alias(label), F.col(f"z.__r.{n}").alias(n), F.col("z.__s").alias("share"), F.col("z.__h").alias("height"))

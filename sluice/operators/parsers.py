@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.constants import NO_REFACTORING
+
 DIFF = "path string, side string, start int, end int"
 _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
@@ -94,6 +96,43 @@ def json_findings(df: DataFrame, keep: list[str], report: str, schema: str, path
     return parsed.select(*keep, F.explode(F.col(f"__r.{path}" if path else "__r")).alias("f")).select(*keep, "f.*")
 
 
+_LOCATION = "struct<filePath:string,startLine:int,endLine:int,codeElement:string>"
+_SIDES = ", ".join(f"{x}:array<{_LOCATION}>" for x in ("leftSideLocations", "rightSideLocations", "beforeLocations", "afterLocations"))
+_OPERATION = f"struct<type:string,relationshipType:string,description:string,standardDescription:string,commitId:string,commit:string,{_SIDES}>"
+_REPORT = f"commits array<struct<sha1:string,commitId:string,commit:string,refactorings:array<{_OPERATION}>>>, refactorings array<{_OPERATION}>, relationships array<{_OPERATION}>"
+
+# The operation names that a text report's lines begin with, in the order they are tried.
+TEXT_OPERATIONS = ["Change Signature of Method/Function", "Extract Method/Function", "Inline Method/Function", "Extract Supertype", "Move and Rename", "Pull Up Method", "Push Down Method", "Convert Type", "Rename", "Move"]
+
+
+def tool_operations(df: DataFrame, keep: list[str], payload: str, commit: str | None = None) -> DataFrame:
+    """Operations of a JSON report (by commits, as refactorings, as relationships, or a bare list), one row each:
+    index, raw_type, description, commit_id, source and target locations. Relationships of type Same are none."""
+    whole, bare = F.from_json(payload, _REPORT), F.from_json(payload, f"array<{_OPERATION}>")
+    given = F.col(commit) if commit else F.lit(None).cast("string")
+    tag = lambda ops, sha: F.transform(ops, lambda o: F.struct(sha.alias("sha"), o.alias("o")))
+    by_commit = F.flatten(F.transform(whole["commits"], lambda c: tag(F.coalesce(c["refactorings"], F.array().cast(f"array<{_OPERATION}>")), F.coalesce(c["sha1"], c["commitId"], c["commit"]))))
+    none = F.lit(None).cast("string")
+    is_list = F.trim(payload).startswith("[")
+    all_ops = F.when(is_list, tag(bare, none)).otherwise(F.coalesce(by_commit, tag(whole["relationships"], none), tag(whole["refactorings"], none)))
+    kept = F.filter(all_ops, lambda x: ~F.lower(F.trim(F.coalesce(x["o"]["type"], x["o"]["relationshipType"], F.lit("")))).isin(*NO_REFACTORING))
+    o = F.col("x.o")
+    rows = df.select(*keep, given.alias("__given"), F.posexplode(kept).alias("index", "x"))
+    return rows.select(
+        *keep, "index", F.coalesce(o["type"], o["relationshipType"]).alias("raw_type"), F.coalesce(o["description"], o["standardDescription"]).alias("description"), F.coalesce("x.sha", o["commitId"], o["commit"], "__given").alias("commit_id"),
+        F.coalesce(o["leftSideLocations"], o["beforeLocations"]).alias("source_locations"), F.coalesce(o["rightSideLocations"], o["afterLocations"]).alias("target_locations"),
+    )
+
+
+def text_operations(df: DataFrame, keep: list[str], report: str) -> DataFrame:
+    """Operations of a text report: each line but the heading, with the operation name it begins with."""
+    lines = F.filter(F.transform(F.split(report, r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("Refactorings found in "))
+    raw = F.lit(None).cast("string")
+    for name in reversed(TEXT_OPERATIONS):
+        raw = F.when(F.col("description").startswith(name), name).otherwise(raw)
+    return df.select(*keep, F.posexplode(lines).alias("index", "description")).withColumn("raw_type", raw)
+
+
 def eslint_severity(c):
     return F.when(F.col(c) == 1, "warning").when(F.col(c) == 2, "error").otherwise("unknown")
 

@@ -186,3 +186,26 @@ def test_pull_request_measures(spark):
     assert (r.changed_lines, r.files, r.languages) == (20, 3, ["java", "python"])
     assert metrics.dominant_file_language(df, "id", "files").first().language == "java"
     assert df.select(F.size("files")).first()[0] == 3
+
+
+def test_tool_reports(spark):
+    loc = [{"filePath": "a.java", "startLine": 1, "endLine": 2, "codeElement": "m"}]
+    reports = [
+        (1, json.dumps({"commits": [{"sha1": "s", "refactorings": [{"type": "Rename Method", "leftSideLocations": loc}]}]})),
+        (2, json.dumps({"relationships": [{"type": "Same"}, {"relationshipType": "Move", "afterLocations": loc}]})),
+        (3, json.dumps([{"type": "Inline", "description": "d"}])),
+        (4, "broken"),
+        (5, None),
+    ]
+    got = parsers.tool_operations(spark.createDataFrame(reports, "id int, r string"), ["id"], "r").orderBy("id").collect()
+    assert [(r.id, r.raw_type, r.commit_id) for r in got] == [(1, "Rename Method", "s"), (2, "Move", None), (3, "Inline", None)]
+    assert got[0].source_locations[0].codeElement == "m" and got[1].target_locations[0].endLine == 2
+    text = spark.createDataFrame([(1, "Refactorings found in x\n\n Move and Rename A\nOdd")], "id int, r string")
+    assert [(r["index"], r.raw_type) for r in parsers.text_operations(text, ["id"], "r").collect()] == [(0, "Move and Rename"), (1, None)]
+
+
+def test_lifted_shares(spark):
+    df = spark.createDataFrame([("a", "x", 97), ("a", "y", 2), ("a", "z", 1), ("a", "w", 0)], "g string, l string, n int")
+    got = {r.l: r.height for r in aggregate.lifted_shares(df, ["g"], "l", "n").collect()}
+    assert got == pytest.approx({"x": 88.0, "y": 6.0, "z": 6.0, "w": 0.0})
+    assert aggregate.lift_segments([1.0] * 20, 6.0) == [5.0] * 20
