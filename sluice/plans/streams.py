@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_table
+from ..sources.tables import read_table, shared_folder
 from ..streaming import events as E
 
 
-def _shared(spark) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return tempfile.mkdtemp(prefix="sluice-stream-") if not root else f"{root.rstrip(chr(47))}/stream-{uuid.uuid4().hex[:12]}"
-
-
 def _source(spark, d):
     """The table's file, found by the name filter of a stream over its folder."""
     schema = read_table(spark, d, "events").schema
@@ -24,7 +16,7 @@ def _source(spark, d):
 
 def stream_dedup(spark, d):
     """The distinct (user, type) keys of the events."""
-    root = _shared(spark)
+    root = shared_folder(spark, "stream")
     keys = E.dedup_stream(_source(spark, d).select("user_id", "event_type"), ["user_id", "event_type"])
     E.run_now(keys, f"{root}/checkpoint", f"{root}/out")
     return spark.read.schema("user_id long, event_type string").parquet(f"{root}/out")
@@ -32,7 +24,7 @@ def stream_dedup(spark, d):
 
 def stream_windows(spark, d):
     """Counts by day and type, complete after the bounded run."""
-    root = _shared(spark)
+    root = shared_folder(spark, "stream")
     counts = _source(spark, d).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("date").alias("day"), "event_type", "n")
     E.run_now(counts, f"{root}/checkpoint", each=lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/out"), mode="complete")
     return spark.read.schema("day date, event_type string, n long").parquet(f"{root}/out")

@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, below spark.checkpoint.dir; a temporary one only in local mode without it."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=f"{name}-")
