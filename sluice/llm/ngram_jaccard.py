@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import MULT, map_arrow, materialize, mix64, slices, text_buffer, words_of
 from .components import components
 
@@ -326,15 +327,16 @@ def _in_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, tile: int = TILE, family_shingles: int = FAMILY_SHINGLES) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = materialize(map_arrow(texts, _signatures(words, percent), SIGNATURE), "signatures")
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sig = materialize(map_arrow(whole, _signatures(words, percent), SIGNATURE).withColumn("row", F.monotonically_increasing_id()), "signatures")
     full = sig.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = materialize(full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node")), "classes")
-    of_class = full.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"])
+    first = F.min(F.struct("doc_id", "row"))  # one row of the class, and its doc_id
+    classes = materialize(full.groupBy("n", "d1", "d2").agg(first.alias("r")).select("n", "d1", "d2", F.col("r.doc_id").alias("node"), F.col("r.row").alias("row")), "classes")
+    of_class = full.select("doc_id", "n", "d1", "d2").join(classes.drop("row"), ["n", "d1", "d2"])
     same = of_class.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
     # tiles: keys of two or more classes, one for each list of members
-    nodes = materialize(full.join(classes.withColumnRenamed("node", "doc_id"), ["n", "d1", "d2", "doc_id"]).select(F.col("doc_id").alias("node"), "n", "keys", "bits").dropDuplicates(["node", "n", "bits"]), "nodes")
+    nodes = materialize(full.select("row", F.col("doc_id").alias("node"), "n", "keys", "bits").join(classes.select("row"), "row", "left_semi").drop("row"), "nodes")
     prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     keyed = nodes.select("node", "n", F.explode(F.slice("keys", F.lit(1), F.least(F.lit(KEYS), prefix).cast("int"))).alias("key"))
     heat = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > hot).select("key", F.lit(True).alias("is_hot")), "hot-keys")
@@ -370,6 +372,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     def with_text(rows: DataFrame) -> DataFrame:
         """Each class's text, once: rows by node; a doc_id that is repeated with other texts counts with all of them."""
         ids = rows.select(F.col("node").alias("doc_id")).distinct()
+        texts = bloom.prefilter(whole, "doc_id", bloom.build(ids))
         return rows.join(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).withColumnRenamed("doc_id", "node"), "node")
 
     fam_schema = "fam long, node long, label long"
