@@ -9,7 +9,7 @@ No piece has the space mark after another character (checked when the vocabulary
 before a space mark that follows another character: the lattice falls into independent segments, one a word. The forward
 pass runs over all distinct segments of a batch at once in numpy. Of a text's N best segmentations each changes only
 segments among the N - 1 with the smallest loss for their second-best path; only for these A* is run, and their
-alternatives are combined in order of loss. Ties for the best go to fewer pieces, then to the longer last piece.
+alternatives are combined in order of loss. Ties for the best go to fewer pieces, then to the shorter last piece.
 
 The vocabulary is one of BPE type, so its scores are ranks; the best path under them is the segmentation that is
 defined here, and need not be the merge order's.
@@ -36,6 +36,8 @@ from .common import map_arrow, mix64, slices, text_buffer
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
+#: Cells (edges times segments) of a batch's matrices; 8 bytes each, in a few copies.
+CELLS = 1 << 19
 #: Segments longer than this take the plain path; it bounds the batch's matrices.
 BATCH_CHARS = 48
 #: Stands for a space mark of the text itself. A lone surrogate occurs in no text.
@@ -67,6 +69,8 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         #: A byte edge costs more than any piece, per byte.
         self.byte_score = float(self.score[list(self.ids.values())].min()) * 2 if min(self.score) > -1e8 else float(self.score[self.score > -1e8].min()) * 2
+        #: Added per piece for ties; below half a unit for any path in a batch, and exact in doubles, if scores are whole.
+        self.penalty = 1 / 1024 if (self.score == np.round(self.score)).all() else 0.0
         self._table()
 
     def _table(self) -> None:
@@ -188,8 +192,9 @@ class Lattices:
             else:
                 by_len.setdefault(len(s), []).append(i)
         for size, at in by_len.items():
-            for k in range(0, len(at), 8192):
-                self._batch(size, np.array(at[k : k + 8192]))
+            step = max(1, CELLS // (max(size, 1) * v.longest))
+            for k in range(0, len(at), step):
+                self._batch(size, np.array(at[k : k + step]))
 
     def _plain(self, i: int) -> None:
         two = n_best(self.v, self.segs[i], 2)
@@ -203,72 +208,67 @@ class Lattices:
             for i in at:
                 self.ids[i] = np.zeros(0, np.int32)
             return
-        chars = np.frombuffer("".join(self.segs[i] for i in at).encode("utf-32-le"), np.uint32).reshape(m, size)
-        wide = np.where(chars < 0x80, 1, np.where(chars < 0x800, 2, np.where(chars < 0x10000, 3, 4)))
+        chars = np.frombuffer("".join(self.segs[i] for i in at).encode("utf-32-le"), np.uint32).reshape(m, size).T.astype(np.uint64)
+        # edge[j, k]: the piece of k + 1 characters that ends at j; its score less a penalty that makes ties go to fewer pieces
+        top = min(v.longest, size)
+        piece = np.full((size + 1, top, m), -1, np.int32)
+        edge = np.full((size + 1, top, m), -np.inf)
+        score = np.append(v.score - v.penalty, -np.inf)
+        h = np.zeros((size, m), np.uint64)
+        for k in range(top):
+            h = _hash_step(h[: size - k], chars[k:])
+            found = v.find(h.reshape(-1)).reshape(h.shape)
+            piece[k + 1 :, k] = found
+            edge[k + 1 :, k] = score[found]
+        bare = piece[1:, 0] < 0
+        if bare.any():
+            wide = np.where(chars < 0x80, 1, np.where(chars < 0x800, 2, np.where(chars < 0x10000, 3, 4)))
+            edge[1:, 0] = np.where(bare, (v.byte_score - v.penalty) * wide, edge[1:, 0])
         alpha = np.full((size + 1, m), -np.inf)
         alpha[0] = 0
-        count = np.zeros((size + 1, m), np.int64)
-        back = np.zeros((size + 1, m), np.int64)
-        found: dict[tuple[int, int], np.ndarray] = {}
+        last = np.zeros((size + 1, m), np.int64)
         cols = np.arange(m)
-        for i in range(size):
-            h = np.zeros(m, np.uint64)
-            for j in range(i + 1, min(size, i + v.longest) + 1):
-                h = _hash_step(h, chars[:, j - 1].astype(np.uint64))
-                found[i, j] = v.find(h)
-        score = np.append(v.score, -np.inf)
-
-        def edge(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-            """Scores and piece counts of the edges from i to j; -inf where there is none."""
-            k = found[i, j]
-            s, c = score[k], np.ones(m, np.int64)
-            if j == i + 1:
-                none = k < 0
-                s = np.where(none, v.byte_score * wide[:, i], s)
-                c = np.where(none, wide[:, i], c)
-            return s, c
-
         for j in range(1, size + 1):
-            for i in range(max(0, j - v.longest), j):
-                s, c = edge(i, j)
-                new, pieces = alpha[i] + s, count[i] + c
-                better = (new > alpha[j]) | ((new == alpha[j]) & (pieces < count[j]) & (new > -np.inf))
-                alpha[j][better], count[j][better], back[j][better] = new[better], pieces[better], i
-        # the best path's marks, from the end; then the second-best path, which has an edge off it
+            w = min(top, j)
+            into = edge[j, :w] + alpha[j - w : j][::-1]
+            last[j] = into.argmax(0)
+            alpha[j] = into[last[j], cols]
+        # the best path's edges, from the end
+        steps, pos = [], np.full(m, size)
         on = np.zeros((size + 1, m), bool)
-        on[size] = True
-        pos = np.full(m, size)
-        for _ in range(size):
-            live = pos > 0
-            if not live.any():
-                break
-            pos = np.where(live, back[pos, cols], 0)
-            on[pos, cols] = True
+        while (live := pos > 0).any():
+            on[pos[live], cols[live]] = True
+            k = last[pos, cols]
+            steps.append(np.where(live, np.where(piece[pos, k, cols] < 0, -pos - 1, piece[pos, k, cols]), -1))
+            pos = np.where(live, pos - k - 1, 0)
+        # the second-best path has an edge off the best one: the best of all paths through such an edge
         beta = np.full((size + 1, m), -np.inf)
         beta[size] = 0
         second = np.full(m, -np.inf)
-        for i in range(size - 1, -1, -1):
-            for j in range(i + 1, min(size, i + v.longest) + 1):
-                s, _ = edge(i, j)
-                beta[i] = np.maximum(beta[i], s + beta[j])
-                off = ~(on[i] & on[j] & (back[j] == i))
-                through = alpha[i] + s + beta[j]
-                second = np.where(off, np.maximum(second, through), second)
-        self.best[at] = alpha[size]
-        self.loss[at] = alpha[size] - second
-        back_t = back.T.tolist()
-        keys = {k: x.tolist() for k, x in found.items()}
-        for r, i in enumerate(at.tolist()):
-            b, j, ids = back_t[r], size, []
-            while j:
-                k = keys[b[j], j][r]
-                ids.append(k if k >= 0 else -j)
-                j = b[j]
-            ids.reverse()
-            if min(ids) < 0:
-                seg = self.segs[i]
-                ids = [y for x in ids for y in ([x] if x >= 0 else v.bytes[list(seg[-x - 1].encode())].tolist())]
-            self.ids[i] = np.array(ids, np.int32)
+        for j in range(size, 0, -1):
+            w = min(top, j)
+            out = edge[j, :w] + beta[j]
+            through = out + alpha[j - w : j][::-1]
+            here = np.flatnonzero(on[j])
+            through[last[j, here], here] = -np.inf
+            np.maximum(second, through.max(0), out=second)
+            back = beta[j - w : j][::-1]
+            np.maximum(back, out, out=back)
+        loss = alpha[size] - second
+        self.loss[at] = np.round(loss) if v.penalty else loss
+        path = np.array(steps[::-1]).T
+        used = path != -1
+        flat, sizes = path[used].astype(np.int32), used.sum(1)
+        ends = np.cumsum(sizes)
+        for i, b, e in zip(at.tolist(), (ends - sizes).tolist(), ends.tolist()):
+            self.ids[i] = flat[b:e]
+        total = np.add.reduceat(np.where(flat < 0, 0.0, v.score[flat]), ends - sizes)
+        for r in np.flatnonzero((path < -1).any(1)).tolist():
+            i, seg = int(at[r]), self.segs[int(at[r])]
+            raw = [list(seg[-x - 2].encode()) if x < 0 else None for x in self.ids[i].tolist()]
+            total[r] += sum(v.byte_score * len(x) for x in raw if x)
+            self.ids[i] = np.array([y for x, c in zip(self.ids[i].tolist(), raw) for y in (v.bytes[c].tolist() if c else [x])], np.int32)
+        self.best[at] = total
 
 
 def segments(text: str) -> list[str]:
@@ -292,7 +292,7 @@ def segments(text: str) -> list[str]:
 class Encoder:
     """Encodes batches; segments seen lately are kept."""
 
-    def __init__(self, path: str = MODEL_PATH, keep: int = 200_000):
+    def __init__(self, path: str = MODEL_PATH, keep: int = 500_000):
         self.v, self.keep = vocabulary(path), keep
         self._reset()
 
@@ -406,7 +406,7 @@ def encode_documents(docs: DataFrame, keep: list[str], text_col: str = "text", n
         enc = Encoder(path)
         for whole in batches:
             _, offs, _ = text_buffer(whole.column(whole.num_columns - 1))
-            for lo, hi in slices(offs):
+            for lo, hi in slices(offs, 4 << 20):
                 b = whole.slice(lo, hi - lo)
                 texts = b.column(b.num_columns - 1)
                 null = np.asarray(texts.is_null())
