@@ -1,16 +1,18 @@
 """Training-order materialisation of token ids.
 
 Documents are encoded, an end-of-text id is put after each, and the stream of each input partition is cut into sequences
-of LENGTH ids (the last one is filled up with end-of-text). A first pass counts the sequences of each partition, which
-numbers all sequences 0 to N - 1. A keyed Feistel permutation over the smallest even number of bits that holds N, walked
-along its cycle until it is below N, maps each number to its slot; it is a bijection, so every slot is taken once. The
-second pass sends each sequence to the range partition of its slot, which is sorted and written as one shard of records
-of the same size: sequence s is at byte (s - first slot) * stride of its shard. Reading can begin at any slot and goes on in order.
-
-Encoding twice costs less than keeping the ids in between: nothing but the shuffle and the shards is on disk. The passes
-must see the same partitions; this holds for file scans, anything else is first written to the shared folder, and the
-second pass fails if a partition's count differs. A shard is written under a name of its task's own and then renamed, so
-a task that runs again replaces it by the same bytes.
+of LENGTH ids (the last one is filled up with end-of-text). A text has no more tokens than bytes, so the bytes of each
+partition, summed before, bound its sequences: partition p numbers its own from base(p) on, and all numbers are below
+N. A keyed Feistel permutation over the smallest even number of bits that holds N, walked along its cycle until it is
+below N, maps each number to a place; it is a bijection, so no two sequences meet. Range partitions of the places are
+sorted and written as one shard each, of records of the same size. A sequence's global slot is its rank: the records of
+the shards before its own, and its position; record r of a shard is at byte r * stride. Reading can begin at any slot
+and goes on in order.
+
+Texts are encoded once, and nothing but the shuffle and the shards is on disk. Both passes must see the same partitions;
+this holds for file scans, anything else is first written to the shared folder, and a partition with more sequences
+than its bound fails. A shard is written under a name of its task's own and then renamed, so a task that runs again
+replaces it by the same bytes.
 
 Defined results: a null or empty text is one end-of-text id. Rows that repeat, repeat. A null doc_id is carried. An
 empty table gives no shard and no row.
@@ -76,13 +78,8 @@ class Feistel:
 # ------------------------------------------------------------------ shards
 
 
-def shard_of(slot, n: int, shards: int):
-    """Shard k holds the slots from ceil(k n / shards) to before ceil((k + 1) n / shards)."""
-    return slot * shards // n
-
-
-def shard_start(k: int, n: int, shards: int) -> int:
-    return -(-k * n // shards)
+def shard_of(place, n: int, shards: int):
+    return place * shards // n
 
 
 def _open(path: str):
@@ -90,20 +87,20 @@ def _open(path: str):
 
 
 class ShardReader:
-    """Sequential reads from any slot on."""
+    """Sequential reads from any slot on. sizes: the number of records of each shard."""
 
-    def __init__(self, path: str, n: int, shards: int, length: int = LENGTH):
-        self.path, self.n, self.shards, self.length = path, n, shards, length
+    def __init__(self, path: str, sizes: list[int], length: int = LENGTH):
+        self.path, self.length = path, length
+        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     def read(self, slot: int, count: int):
         fs, root = _open(self.path)
-        end = min(slot + count, self.n)
+        end, stride = min(slot + count, int(self.starts[-1])), 2 * self.length
         while slot < end:
-            k = shard_of(slot, self.n, self.shards)
-            first, last = shard_start(k, self.n, self.shards), min(end, shard_start(k + 1, self.n, self.shards))
-            stride = 2 * self.length
+            k = int(np.searchsorted(self.starts, slot, "right")) - 1
+            last = min(end, int(self.starts[k + 1]))
             with fs.open_input_file(f"{root}/shard-{k:06d}.bin") as f:
-                f.seek((slot - first) * stride)
+                f.seek((slot - int(self.starts[k])) * stride)
                 raw = f.read((last - slot) * stride)
             yield from np.frombuffer(raw, "<u2").reshape(-1, self.length)
             slot = last
@@ -115,42 +112,31 @@ class ShardReader:
 def _stable(docs: DataFrame) -> bool:
     """Whether the plan is a file scan with projections and filters, whose partitions are the same on each run."""
     plan = docs._jdf.queryExecution().executedPlan().toString()
-    return "FileScan" in plan and not any(x in plan for x in ("Exchange", "Union", "Sample", "Coalesce", "InMemory"))
-
-
-def _sizes(path: str):
-    def run(batches):
-        enc, total = BpeEncoder(path), 0
-        for whole in batches:
-            for b in text_slices(whole, 1):
-                total += int(enc.counts(b.column(1).to_pylist()).sum()) + b.num_rows
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "ids": pa.array([total], pa.int64())})
-
-    return run
+    return "FileScan" in plan and not any(x in plan for x in ("Exchange", "Union", "Sample ", "Coalesce ", "InMemoryTableScan", "Scan ExistingRDD"))
 
 
-SEQUENCE = "slot long, shard int, first_doc long, n_docs int, n_ids int, payload binary"
+SEQUENCE = "place long, shard int, first_doc long, n_docs int, n_ids int, payload binary"
 
 
 def _sequences(path: str, base: dict[int, tuple[int, int]], n: int, shards: int, length: int, key: int):
-    """base: of each partition the number of its first sequence and its count of ids."""
-    schema = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int32()), ("payload", pa.binary())])
+    """base: of each partition the number of its first sequence and the bound of their count."""
+    schema = pa.schema([("place", pa.int64()), ("shard", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int32()), ("payload", pa.binary())])
     perm = Feistel(n, key)
 
     def run(batches):
         enc = BpeEncoder(path)
         part = TaskContext.get().partitionId()
-        number, expected = base.get(part, (0, 0))
-        done = 0
+        number, bound = base.get(part, (0, 0))
+        bound += number
 
         def cut(ids, owner, rank, count, real):
             """Whole sequences of the ids; owner and rank: the doc_id and the running number of each id's document."""
             m = len(ids) // length
             rows = ids[: m * length].reshape(m, length)
-            slot = perm.forward(np.arange(count, count + m))
+            place = perm.forward(np.arange(count, count + m))
             r = rank[: m * length].reshape(m, length)
             return pa.RecordBatch.from_arrays([
-                pa.array(slot), pa.array(shard_of(slot, n, shards).astype(np.int32)), pa.array([owner[k] for k in r[:, 0].tolist()], pa.int64()),
+                pa.array(place), pa.array(shard_of(place, n, shards).astype(np.int32)), pa.array([owner[k] for k in r[:, 0].tolist()], pa.int64()),
                 pa.array((r[:, -1] - r[:, 0] + 1).astype(np.int32)), pa.array(real, pa.int32()), pa.array([x.tobytes() for x in rows.astype("<u2")], pa.binary())], schema=schema)
 
         ids, rank, docs, seen = np.zeros(0, np.uint16), np.zeros(0, np.int64), {}, 0
@@ -163,7 +149,8 @@ def _sequences(path: str, base: dict[int, tuple[int, int]], n: int, shards: int,
                 rank = np.concatenate([rank, np.repeat(np.arange(seen, seen + len(new)), size)])
                 docs.update(zip(range(seen, seen + len(new)), b.column(0).to_pylist()))
                 seen += len(new)
-                done += int(size.sum())
+                if number + len(ids) // length > bound:
+                    raise RuntimeError("the input's partitions changed between the passes")
                 m = len(ids) // length
                 if m:
                     yield cut(ids, docs, rank, number, [length] * m)
@@ -171,8 +158,6 @@ def _sequences(path: str, base: dict[int, tuple[int, int]], n: int, shards: int,
                     ids, rank = ids[m * length :], rank[m * length :]
                     low = int(rank[0]) if len(rank) else seen
                     docs = {k: v for k, v in docs.items() if k >= low}
-        if done != expected:
-            raise RuntimeError("the input's partitions changed between the passes")
         if len(ids):
             real = len(ids)
             fill = length - real
@@ -183,17 +168,17 @@ def _sequences(path: str, base: dict[int, tuple[int, int]], n: int, shards: int,
     return run
 
 
-WRITTEN = "slot long, shard int, byte_offset long, first_doc long, n_docs int, n_ids int, crc32 long"
+WRITTEN = "shard int, position long, place long, first_doc long, n_docs int, n_ids int, crc32 long"
 
 
-def _writer(path: str, n: int, shards: int, length: int):
-    schema = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("byte_offset", pa.int64()), ("first_doc", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int32()), ("crc32", pa.int64())])
-    stride = 2 * length
+def _writer(path: str):
+    schema = pa.schema([("shard", pa.int32()), ("position", pa.int64()), ("place", pa.int64()), ("first_doc", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int32()), ("crc32", pa.int64())])
 
     def run(batches):
-        """A partition holds whole shards, sorted by slot; the file is written as the rows come."""
+        """A partition holds whole shards, sorted by place; a file is written as the rows come."""
         fs, root = _open(path)
         out = own = shard = None
+        at = 0
 
         def close():
             if out is not None:
@@ -201,37 +186,41 @@ def _writer(path: str, n: int, shards: int, length: int):
                 fs.move(own, f"{root}/shard-{shard:06d}.bin")
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            slots, shards_, payloads = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(5).to_pylist()
-            for k, raw in zip(shards_, payloads):
+            position, payloads = [], b.column(5).to_pylist()
+            for k, raw in zip(b.column(1).to_pylist(), payloads):
                 if k != shard:
                     close()
                     fs.create_dir(root, recursive=True)
-                    shard, own = k, f"{root}/_{k:06d}-{uuid.uuid4().hex}"
+                    shard, own, at = k, f"{root}/_{k:06d}-{uuid.uuid4().hex}", 0
                     out = fs.open_output_stream(own)
                 out.write(raw)
-            offset = [(s - shard_start(k, n, shards)) * stride for s, k in zip(slots, shards_)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(offset, pa.int64()), b.column(2), b.column(3), b.column(4), pa.array([zlib.crc32(x) for x in payloads], pa.int64())], schema=schema)
+                position.append(at)
+                at += 1
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(position, pa.int64()), b.column(0), b.column(2), b.column(3), b.column(4), pa.array([zlib.crc32(x) for x in payloads], pa.int64())], schema=schema)
         close()
 
     return run
 
 
-def write_training_order(docs: DataFrame, path: str | None = None, tokenizer: str = TOKENIZERS["byte_bpe_50k"], length: int = LENGTH, shards: int | None = None, key: int = 1234, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, int, int]:
-    """Write the shards. Returns (a row per sequence: slot, shard, byte_offset, first_doc, n_docs, n_ids, crc32; the
-    folder; N; the shards' number)."""
+def write_training_order(docs: DataFrame, path: str | None = None, tokenizer: str = TOKENIZERS["byte_bpe_50k"], length: int = LENGTH, shards: int | None = None, key: int = 1234, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, list[int]]:
+    """Write the shards. Returns (a row per sequence: slot, shard, byte_offset, place, first_doc, n_docs, n_ids, crc32;
+    the folder; the records of each shard)."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "shards")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if not _stable(rows):
         rows = materialize(rows, "ordered-input")
-    sizes = {r.part: r.ids for r in map_arrow(rows, _sizes(tokenizer), "part long, ids long").collect()}  # one row a partition
+    size = rows.select(F.spark_partition_id().alias("part"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("n"))
     base, n = {}, 0
-    for part in sorted(sizes):
-        base[part] = (n, sizes[part])
-        n += -(-sizes[part] // length)
+    for part, total in sorted(size.groupBy("part").agg(F.sum("n")).collect()):  # one row a partition
+        base[part] = (n, -(-total // length))
+        n += base[part][1]
     shards = min(shards or shuffle_partitions(spark), max(n, 1))
     seqs = map_arrow(rows, _sequences(tokenizer, base, n, shards, length, key), SEQUENCE) if n else spark.createDataFrame([], SEQUENCE)
-    laid = seqs.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-    return materialize(map_arrow(laid, _writer(path, n, shards, length), WRITTEN), "shard-manifest"), path, n, shards
+    laid = seqs.repartitionById(shards, F.col("shard")).sortWithinPartitions("place")
+    written = materialize(map_arrow(laid, _writer(path), WRITTEN), "shard-manifest")
+    count = dict(map(tuple, written.groupBy("shard").agg(F.count(F.lit(1))).collect()))  # one row a shard
+    sizes = [count.get(k, 0) for k in range(shards)]
+    first = spark.createDataFrame([(k, int(s)) for k, s in enumerate(np.cumsum([0, *sizes])[:-1])], "shard int, start long")
+    out = written.join(F.broadcast(first), "shard")  # shards are as many as shuffle partitions
+    return out.select((F.col("start") + F.col("position")).alias("slot"), "shard", (F.col("position") * (2 * length)).alias("byte_offset"), "place", "first_doc", "n_docs", "n_ids", "crc32"), path, sizes

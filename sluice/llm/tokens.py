@@ -1,28 +1,20 @@
-"""Byte-level BPE of Arrow text columns, with tiktoken on distinct words only.
-
-The pre-tokenizer's pattern never puts a space and a following non-space into the middle of a pre-token, so a text falls
-into independent words at such spaces; a word that was seen lately is not encoded again. Texts with a space before
-white space or at an end are encoded whole. The ids equal those of encoding the whole text.
-"""
+"""Byte-level BPE of Arrow text columns by tiktoken, into numpy ids."""
 
 from __future__ import annotations
 
 import base64
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-from .common import text_buffer
+from .common import SLICE_BYTES, slices, text_buffer
 
 TOKENIZERS = {"byte_bpe_50k": "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"}
 #: The fixed pre-tokenization pattern of these vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A free id of both vocabularies.
 END_OF_TEXT = 50_256
-_WHOLE = re.compile(r" (?=\s)|\A | \Z")
-_FIRST = "\ud800"  # before the first word of a text, which has no space; occurs in no text
 
 
 @lru_cache(maxsize=4)
@@ -35,72 +27,23 @@ def encoding(path: str):
 
 
 class BpeEncoder:
-    def __init__(self, path: str, keep: int = 200_000):
-        self.bpe, self.keep = encoding(path), keep
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+    def __init__(self, path: str):
+        self.bpe = encoding(path)
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.index) > self.keep:
-            self._reset()
-        fresh = [w for w in words if w not in self.index]
-        if not fresh:
-            return
-        one = self.bpe.encode_ordinary
-        ids = [one(w[1:] if w[:1] == _FIRST else " " + w) for w in fresh]
-        n = len(self.index)
-        self.index.update((w, n + i) for i, w in enumerate(fresh))
-        size = np.array([len(x) for x in ids], np.int64)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.array([y for x in ids for y in x], np.uint16)])
-
-    def _split(self, texts: list[str | None]) -> list:
-        cut: list = []
-        for t in texts:
-            if not t:
-                cut.append(())
-            elif _WHOLE.search(t):
-                cut.append(None)
-            else:
-                w = t.split(" ")
-                w[0] = _FIRST + w[0]
-                cut.append(w)
-        self._learn({w for c in cut if c for w in c})
-        return cut
+    def one(self, text: str | None) -> np.ndarray:
+        return self.bpe.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """Tokens of each text; a null has 0."""
-        out = np.zeros(len(texts), np.int64)
-        for i, c in enumerate(self._split(texts)):
-            if c is None:
-                out[i] = len(self.bpe.encode_ordinary(texts[i]))
-            elif c:
-                out[i] = self.size[np.fromiter(map(self.index.__getitem__, c), np.int64, len(c))].sum()
-        return out
+        return np.array([len(self.one(t)) for t in texts], np.int64)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as uint16; a null has none."""
-        out = []
-        for t, c in zip(texts, self._split(texts)):
-            if c is None:
-                out.append(np.array(self.bpe.encode_ordinary(t), np.uint16))
-            elif not c:
-                out.append(np.zeros(0, np.uint16))
-            else:
-                at = np.fromiter(map(self.index.__getitem__, c), np.int64, len(c))
-                size = self.size[at]
-                out.append(self.flat[np.arange(int(size.sum())) + np.repeat(self.start[at] - (np.cumsum(size) - size), size)])
-        return out
+        return [self.one(t).astype(np.uint16) for t in texts]
 
 
-def text_slices(batch: pa.RecordBatch, at: int, limit: int = 1 << 20):
+def text_slices(batch: pa.RecordBatch, at: int, limit: int = SLICE_BYTES):
     """The batch in row ranges of about `limit` bytes of its column `at`."""
-    from .common import slices
-
     _, offs, _ = text_buffer(batch.column(at))
     for lo, hi in slices(offs, limit):
         yield batch.slice(lo, hi - lo)
