@@ -4,8 +4,8 @@
    set, a bitmap signature with about four bits a shingle, and the SPARE smallest hashes. Its keys are the KEYS
    smallest (or the exact prefix n - ceil(t n) + 1, if that is shorter).
 2. Documents with equal sets are one class; from here on there is one row a class.
-3. Keys of more than HOT classes (lines of licences, say) are hot. A set with hot keys and at least COLD others among its
-   SPARE smallest hashes takes these others as keys instead; a set that is mostly hot keeps its keys.
+3. Keys of more than HOT classes (lines of licences, say) are hot. A set with hot keys takes as further keys all others
+   among its SPARE smallest hashes; if these are at least COLD it gives up its hot ones, else it keeps them too.
 4. Classes that share a key meet in a tile. Tiles with equal member lists are worked once, keys of a single class never.
    In a tile only sizes within the factor 1/t meet, and the bit counts of two signatures bound the overlap from above:
    |x & y| <= min(n_x - bits(x not y), n_y - bits(y not x)). Pairs that the bound lets pass are united; the tile emits a
@@ -19,10 +19,13 @@
 
 Why the keys lose no link: of the union of two linked sets, each of the KEYS smallest hashes lies in both with
 probability t or more, so all of them miss with probability (1 - t) ** KEYS = 6.6e-12 a pair at t = 0.8, for hashes
-seeded apart from the data; equal 64-bit hashes of different shingles are of the same order. Of a set that gave up
-its hot keys at most a third of all shingles is hot, by the share of its smallest; should all differences of a pair lie in
-the rest, each of its COLD keys or more misses with probability 0.3 or less, all of them with 3e-13. It is no cap: a pair
-is tested if it shares any key, however many share it.
+seeded apart from the data; equal 64-bit hashes of different shingles are of the same order. Cold keys are never given
+up, so a pair can lose only shared keys that are hot, and only if one of the two gave them up. That one has COLD cold
+hashes or more among its SPARE smallest. Of the union's SPARE smallest hashes, those in both sets are among the stored
+of both, and COLD of them less those that are not in both are cold: keys of both. So COLD of these SPARE would have to be
+outside one of the sets, each with probability 1 - t or less: 3.3e-11 a pair at t = 0.8, whatever is hot, and never if
+the union has fewer than COLD / (1 - t) = 120 shingles. It is no cap: a pair is tested if it shares any key, however many
+share it.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is its own component. A
 null doc_id has a null component. Rows that repeat a doc_id are one document: their links are joined. An empty table
@@ -49,7 +52,7 @@ KEYS = 16
 SPARE = 32
 #: A key of more classes than this is hot.
 HOT = 1000
-#: A set gives up its hot keys if it has so many others among the stored ones.
+#: A set gives up its hot keys if it has so many others among the stored ones; the others it takes in any case.
 COLD = 24
 #: Classes in a chunk of a tile.
 TILE = 4096
@@ -336,17 +339,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     same = of_class.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
     # tiles: keys of two or more classes, one for each list of members
-    nodes = materialize(full.select("row", F.col("doc_id").alias("node"), "n", "keys", "bits").join(classes.select("row"), "row", "left_semi").drop("row"), "nodes")
+    nodes = materialize(full.select("row", F.col("doc_id").alias("node"), "n", "keys", "bits").join(classes.select("row"), "row", "left_semi"), "nodes")
     prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    keyed = nodes.select("node", "n", F.explode(F.slice("keys", F.lit(1), F.least(F.lit(KEYS), prefix).cast("int"))).alias("key"))
+    keyed = nodes.select("row", "node", "n", F.explode(F.slice("keys", F.lit(1), F.least(F.lit(KEYS), prefix).cast("int"))).alias("key"))
     heat = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > hot).select("key", F.lit(True).alias("is_hot")), "hot-keys")
     if not heat.isEmpty():
-        touched = keyed.join(heat, "key", "left_semi").select("node", "n").distinct()
-        spare = nodes.join(touched, ["node", "n"], "left_semi").select("node", "n", F.explode("keys").alias("key"))
-        spare = spare.join(heat, "key", "left").where("is_hot is null").select("node", "n", "key")
-        moved = spare.groupBy("node", "n").agg(F.count(F.lit(1)).alias("cold")).where(F.col("cold") >= COLD).select("node", "n")
-        moved = materialize(spare.join(moved, ["node", "n"], "left_semi"), "cold-keys")
-        keyed = keyed.join(moved.select("node", "n").distinct(), ["node", "n"], "left_anti").unionByName(moved)
+        # a set's row, as a doc_id that is repeated has several sets
+        hot_keyed = materialize(keyed.join(heat, "key", "left_semi"), "hot-keyed")
+        touched = hot_keyed.select("row").distinct()
+        spare = nodes.join(touched, "row", "left_semi").select("row", "node", "n", F.explode("keys").alias("key"))
+        spare = materialize(spare.join(heat, "key", "left").where("is_hot is null").select("row", "node", "n", "key"), "cold-keys")
+        moved = spare.groupBy("row").agg(F.count(F.lit(1)).alias("cold")).where(F.col("cold") >= COLD).select("row")
+        # every touched set has its cold keys, so that those that gave up hot ones meet those that did not
+        keyed = keyed.join(touched, "row", "left_anti").unionByName(spare).unionByName(hot_keyed.join(moved, "row", "left_anti"))
     h = F.xxhash64("node", "n")
     lists = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(h).alias("x"), F.sum(F.xxhash64("n", "node").bitwiseAND(0xFFFFFFFF)).alias("s"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("members > 1")
     lists = materialize(lists.groupBy("members", "x", "s", "lo", "hi").agg(F.min("key").alias("key")).select("key", "members"), "tiles")

@@ -168,6 +168,15 @@ def test_ngram_jaccard_in_chunks(spark):
             assert (r.n_shingles, r.component_id) == want[r.doc_id]
 
 
+def test_ngram_jaccard_hot_groups_of_short_texts(spark):
+    """Near copies with only hot keys, of two sizes: the shorter have more than COLD other hashes, the longer often fewer."""
+    rows = [(120 * g + i, " ".join([*(f"b{g}x{k}" for k in range(43 if i < 60 else 37)), f"u{i}"])) for g in range(8) for i in range(120)]
+    want = brute_components(rows)
+    assert len({c for _, c in want.values()}) == 8
+    for r in ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), hot=40).collect():
+        assert (r.n_shingles, r.component_id) == want[r.doc_id]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)]
     got = dict(map(tuple, cc.components(spark.createDataFrame(edges, "a long, b long")).collect()))
