@@ -8,7 +8,7 @@ masked. The second comes from the counts of all tokens of the corpus (add-one).
 conditional log-probabilities of every token, and its mean.
 
 Counts are gathered from every token of every document. The network is trained by parameter averaging: each task trains
-a copy of the same first weights on every STRIDE-th token of all its documents, in order, and the copies are averaged
+a copy of the same first weights on every token of all its documents, in order, and the copies are averaged
 by their numbers of tokens; both gather more as the corpus grows, while the driver gets a fixed size: BUCKETS
 counts and the averaged weights. Sums are over integers (weights in fixed point), so their order changes nothing.
 
@@ -33,7 +33,6 @@ CLASSES = 256
 OWN = 128
 HIDDEN = 24
 PLACES = (-2, -1, 1, 2)
-STRIDE = 16
 BATCH = 256
 RATE = 0.5
 _FIXED = float(1 << 24)
@@ -99,19 +98,34 @@ class Network:
 
     def train(self, ctx: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
         """One pass of minibatch gradient steps in the given order."""
+        emb = self.emb.reshape(-1, HIDDEN)  # a view: all places in one
+        top = np.vstack([self.out, self.bias])  # the bias is the weight of a hidden unit that is always 1
+        at = ctx + np.arange(len(PLACES), dtype=np.int16) * np.int16(CLASSES + 1)
+        ones = np.ones(CLASSES, np.float32)
         for i in range(0, len(target), BATCH):
-            c, t = ctx[i : i + BATCH], target[i : i + BATCH]
-            h = self.hidden(c)
-            z = h @ self.out + self.bias
-            z = np.exp(z - z.max(1, keepdims=True))
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(len(t)), t] -= 1
-            z *= rate / len(t)
-            back = (z @ self.out.T) * (1 - h * h)
-            self.out -= h.T @ z
-            self.bias -= z.sum(0)
-            for k in range(len(PLACES)):
-                np.subtract.at(self.emb[k], c[:, k], back * 4)
+            c, t = at[i : i + BATCH].T, target[i : i + BATCH]
+            m = len(t)
+            h = np.ones((m, HIDDEN + 1), np.float32)
+            np.tanh(sum(emb.take(x, 0) for x in c), out=h[:, :-1])
+            z = h @ top
+            e = np.exp(z - z.max())
+            total = e @ ones
+            if total.min() < 1e-30:  # a row far below the largest logit
+                e = np.exp(z - z.max(1, keepdims=True))
+                total = e @ ones
+            # the gradient by logit is e * step, a row each; it is not formed
+            e[np.arange(m), t] -= total
+            step = ((rate / m) / total)[:, None]
+            back = (e @ top[:-1].T) * (step * 4) * (1 - h[:, :-1] * h[:, :-1])
+            top -= (h * step).T @ e
+            # rows of an embedding are summed in its order, then subtracted once
+            flat = c.ravel()
+            order = np.argsort(flat, kind="stable")
+            flat = flat[order]
+            first = np.flatnonzero(np.diff(flat, prepend=-1))
+            emb[flat[first]] -= np.add.reduceat(back.take(order % m, 0), first)
+        self.out[:], self.bias[:] = top[:-1], top[-1]
+        np.clip(self.emb, -31, 31, out=self.emb)
         np.clip(self.out, -1.5, 1.5, out=self.out)
         np.clip(self.bias, -14, 14, out=self.bias)
 
@@ -155,7 +169,7 @@ def count_buckets(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, text_col: str = "text", stride: int = STRIDE) -> tuple[Vocabulary, Network]:
+def train(docs: DataFrame, text_col: str = "text", stride: int = 1) -> tuple[Vocabulary, Network]:
     sc = docs.sparkSession.sparkContext
     vocab = vocabulary(count_buckets(docs, text_col))
     shared = sc.broadcast(vocab)

@@ -334,6 +334,17 @@ def test_lm_scores_are_sums_of_conditional_log_probabilities(spark, docs):
     assert lm_scoring.train(docs.limit(0))[1].bias.shape == (lm_scoring.CLASSES,)
 
 
+def test_every_token_is_a_training_target(spark):
+    texts = [f"rare{i} one two three four five" for i in range(300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    vocab, net = lm_scoring.train(frame)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at, first = lm_scoring.buckets_of(data, np.cumsum([0, *map(len, texts)]), 0, len(texts))
+    want, cls = lm_scoring.Network.first(vocab.class_logp), vocab.class_of[at]
+    want.train(lm_scoring.contexts(cls, first), cls)
+    assert len(cls) == 1800 and net.flat() == pytest.approx(want.flat(), abs=1e-5)
+
+
 def test_training_raises_the_pseudo_likelihood(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     vocab, net = lm_scoring.train(frame, stride=4)
