@@ -10,8 +10,8 @@ the shards before its own, and its position; record r of a shard is at byte r *
 and goes on in order.
 
 Texts are encoded once, and nothing but the shuffle and the shards is on disk. Both passes must see the same partitions;
-this holds for file scans, anything else is first written to the shared folder, and a partition with more sequences
-than its bound fails. A shard is written under a name of its task's own and then renamed, so a task that runs again
+this holds for file scans, and anything else is first written to the shared folder. Each partition's rows and bytes must be
+those of the first pass exactly, and the shards must hold the end of every document; else the run fails. A shard is written under a name of its task's own and then renamed, so a task that runs again
 replaces it by the same bytes.
 
 Defined results: a null or empty text is one end-of-text id. Rows that repeat, repeat. A null doc_id is carried. An
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, mix64, scratch_path, shuffle_partitions
+from .common import map_arrow, materialize, mix64, scratch_path, shuffle_partitions, text_buffer
 from .tokens import END_OF_TEXT, TOKENIZERS, BpeEncoder, text_slices
 
 LENGTH = 2048
@@ -115,19 +115,19 @@ def _stable(docs: DataFrame) -> bool:
     return "FileScan" in plan and not any(x in plan for x in ("Exchange", "Union", "Sample ", "Coalesce ", "InMemoryTableScan", "Scan ExistingRDD"))
 
 
-SEQUENCE = "place long, shard int, first_doc long, n_docs int, n_ids int, payload binary"
+SEQUENCE = "place long, shard int, first_doc long, n_docs int, n_ids int, payload binary, n_ends int"
 
 
-def _sequences(path: str, base: dict[int, tuple[int, int]], n: int, shards: int, length: int, key: int):
-    """base: of each partition the number of its first sequence and the bound of their count."""
-    schema = pa.schema([("place", pa.int64()), ("shard", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int32()), ("payload", pa.binary())])
+def _sequences(path: str, base: dict[int, tuple[int, int, int]], n: int, shards: int, length: int, key: int):
+    """base: of each partition the number of its first sequence, its rows and its bytes with one more a row."""
+    schema = pa.schema([("place", pa.int64()), ("shard", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int32()), ("payload", pa.binary()), ("n_ends", pa.int32())])
     perm = Feistel(n, key)
 
     def run(batches):
         enc = BpeEncoder(path)
         part = TaskContext.get().partitionId()
-        number, bound = base.get(part, (0, 0))
-        bound += number
+        number, *want = base.get(part, (0, 0, 0))
+        bound, got = number - (-want[1] // length), np.zeros(2, np.int64)
 
         def cut(ids, owner, rank, count, real):
             """Whole sequences of the ids; owner and rank: the doc_id and the running number of each id's document."""
@@ -137,10 +137,13 @@ def _sequences(path: str, base: dict[int, tuple[int, int]], n: int, shards: int,
             r = rank[: m * length].reshape(m, length)
             return pa.RecordBatch.from_arrays([
                 pa.array(place), pa.array(shard_of(place, n, shards).astype(np.int32)), pa.array([owner[k] for k in r[:, 0].tolist()], pa.int64()),
-                pa.array((r[:, -1] - r[:, 0] + 1).astype(np.int32)), pa.array(real, pa.int32()), pa.array([x.tobytes() for x in rows.astype("<u2")], pa.binary())], schema=schema)
+                pa.array((r[:, -1] - r[:, 0] + 1).astype(np.int32)), pa.array(real, pa.int32()), pa.array([x.tobytes() for x in rows.astype("<u2")], pa.binary()),
+                pa.array([int((x[:k] == END_OF_TEXT).sum()) for x, k in zip(rows, real)], pa.int32())], schema=schema)
 
         ids, rank, docs, seen = np.zeros(0, np.uint16), np.zeros(0, np.int64), {}, 0
         for whole in batches:
+            offs = text_buffer(whole.column(1))[1]
+            got += whole.num_rows, int(offs[-1] - offs[0]) + whole.num_rows
             for b in text_slices(whole, 1):
                 new = enc.encode(b.column(1).to_pylist())
                 size = np.array([len(x) + 1 for x in new])
@@ -158,6 +161,8 @@ def _sequences(path: str, base: dict[int, tuple[int, int]], n: int, shards: int,
                     ids, rank = ids[m * length :], rank[m * length :]
                     low = int(rank[0]) if len(rank) else seen
                     docs = {k: v for k, v in docs.items() if k >= low}
+        if got.tolist() != want:
+            raise RuntimeError("the input's partitions changed between the passes")
         if len(ids):
             real = len(ids)
             fill = length - real
@@ -168,11 +173,11 @@ def _sequences(path: str, base: dict[int, tuple[int, int]], n: int, shards: int,
     return run
 
 
-WRITTEN = "shard int, position long, place long, first_doc long, n_docs int, n_ids int, crc32 long"
+WRITTEN = "shard int, position long, place long, first_doc long, n_docs int, n_ids int, crc32 long, n_ends int"
 
 
 def _writer(path: str):
-    schema = pa.schema([("shard", pa.int32()), ("position", pa.int64()), ("place", pa.int64()), ("first_doc", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int32()), ("crc32", pa.int64())])
+    schema = pa.schema([("shard", pa.int32()), ("position", pa.int64()), ("place", pa.int64()), ("first_doc", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int32()), ("crc32", pa.int64()), ("n_ends", pa.int32())])
 
     def run(batches):
         """A partition holds whole shards, sorted by place; a file is written as the rows come."""
@@ -196,7 +201,7 @@ def _writer(path: str):
                 out.write(raw)
                 position.append(at)
                 at += 1
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(position, pa.int64()), b.column(0), b.column(2), b.column(3), b.column(4), pa.array([zlib.crc32(x) for x in payloads], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(position, pa.int64()), b.column(0), b.column(2), b.column(3), b.column(4), pa.array([zlib.crc32(x) for x in payloads], pa.int64()), b.column(6)], schema=schema)
         close()
 
     return run
@@ -211,15 +216,19 @@ def write_training_order(docs: DataFrame, path: str | None = None, tokenizer: st
     if not _stable(rows):
         rows = materialize(rows, "ordered-input")
     size = rows.select(F.spark_partition_id().alias("part"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("n"))
-    base, n = {}, 0
-    for part, total in sorted(size.groupBy("part").agg(F.sum("n")).collect()):  # one row a partition
-        base[part] = (n, -(-total // length))
-        n += base[part][1]
+    base, n, docs_in = {}, 0, 0
+    for part, count, total in sorted(size.groupBy("part").agg(F.count(F.lit(1)), F.sum("n")).collect()):  # one row a partition
+        base[part] = (n, count, total)
+        n += -(-total // length)
+        docs_in += count
     shards = min(shards or shuffle_partitions(spark), max(n, 1))
     seqs = map_arrow(rows, _sequences(tokenizer, base, n, shards, length, key), SEQUENCE) if n else spark.createDataFrame([], SEQUENCE)
     laid = seqs.repartitionById(shards, F.col("shard")).sortWithinPartitions("place")
     written = materialize(map_arrow(laid, _writer(path), WRITTEN), "shard-manifest")
-    count = dict(map(tuple, written.groupBy("shard").agg(F.count(F.lit(1))).collect()))  # one row a shard
+    per_shard = written.groupBy("shard").agg(F.count(F.lit(1)), F.sum("n_ends")).collect()  # one row a shard
+    if sum(x[2] for x in per_shard) != docs_in:
+        raise RuntimeError("the input's partitions changed between the passes")
+    count = {x[0]: x[1] for x in per_shard}
     sizes = [count.get(k, 0) for k in range(shards)]
     first = spark.createDataFrame([(k, int(s)) for k, s in enumerate(np.cumsum([0, *sizes])[:-1])], "shard int, start long")
     out = written.join(F.broadcast(first), "shard")  # shards are as many as shuffle partitions

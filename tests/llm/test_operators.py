@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -307,6 +308,20 @@ def test_training_order(spark, docs):
     assert empty[0].count() == 0 and sum(empty[2]) == 0
 
 
+def test_training_order_fails_if_a_row_is_lost_between_the_passes(spark, docs, tmp_path, monkeypatch):
+    mark = str(tmp_path / "seen")
+
+    def once(batches):
+        for b in batches:
+            yield b.slice(1) if os.path.exists(mark) else b
+        open(mark, "w").close()
+
+    monkeypatch.setattr(token_output, "_stable", lambda rows: True)
+    short = docs.select("doc_id", "text").where("doc_id <= 5").coalesce(1).mapInArrow(once, "doc_id long, text string")
+    with pytest.raises(Exception, match="partitions changed"):
+        token_output.write_training_order(short, length=64)
+
+
 # ------------------------------------------------------------------ 5
 
 
