@@ -9,9 +9,10 @@ constant: a text's code length is a sum of table look-ups, one row of the table
 A text's language is the one with the shortest code; ties go to the first in sorted order. score is the posterior
 probability under equal priors, 1 / sum(2 ** (best - length)).
 
-Training reads a bounded sample of labelled rows: of each language the DOCS_PER_LANG texts of at most MAX_DOC_BYTES with
-the smallest hash of their text, so at most 3.3 MB a language go to the driver; LANGUAGES bounds their number. Every
-text is scored whole.
+Training reads a bounded sample of labelled rows: of each language the DOCS_PER_LANG texts with the smallest hash of their
+text, those of at most MAX_DOC_BYTES first. Where these are too few, longer ones follow, of which the first MAX_DOC_BYTES
+are learned; so at most 3.3 MB a language go to the driver. LANGUAGES bounds their number, by all labelled rows. Every text
+is scored whole.
 
 Defined results: `und` with score 0 if a text is null or has no letter, or if nothing was learned. Equal texts get equal
 results. Rows with a null lang are not learned from. An empty table gives an empty result.
@@ -177,14 +178,17 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER) -> PpmModel:
 
 def training_sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> dict[str, list[bytes]]:
     """The bounded sample of rows with a lang; see the module's head for the bound."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & (F.octet_length("text") <= MAX_DOC_BYTES))
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     top = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    rows = rows.where(F.col("lang").isin([r.lang for r in top])).withColumn("h", F.xxhash64("text"))
+    rows = rows.where(F.col("lang").isin([r.lang for r in top]))
+    long = F.octet_length("text") > MAX_DOC_BYTES
+    piece = F.substring(F.col("text").cast("binary"), 1, MAX_DOC_BYTES)  # in bytes; the model is over bytes
+    rows = rows.select("lang", long.alias("long"), F.xxhash64("text").alias("h"), piece.alias("text"))
     # the limit is pushed below the shuffle, so a task sends at most docs_per_lang rows of a language
-    pick = rows.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= docs_per_lang)
+    pick = rows.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("long", "h", "text"))).where(F.col("r") <= docs_per_lang)
     out: dict[str, list[bytes]] = {}
     for r in pick.select("lang", "text").toLocalIterator():
-        out.setdefault(r.lang, []).append(r.text.encode())
+        out.setdefault(r.lang, []).append(bytes(r.text))
     return out
 
 

@@ -232,6 +232,17 @@ def test_language_id(spark, docs):
     assert language_id.identify(docs, language_id.train(docs.limit(0)), keep=[]).where("lang_pred != 'und'").count() == 0
 
 
+def test_language_of_long_texts_only_is_learned(spark):
+    long = ["é" + "żółć gęślą jaźń " * 1500 + str(i) for i in range(3)]
+    rows = [("en", f"the quick brown fox {i}") for i in range(5)] + [("pl", t) for t in long] + [("xx", None), (None, "none")]
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    sample = language_id.training_sample(frame)
+    assert sorted(sample["en"]) == sorted(t.encode() for x, t in rows if x == "en") and set(sample) == {"en", "pl"}
+    assert Counter(sample["pl"]) == Counter(t.encode()[: language_id.MAX_DOC_BYTES] for t in long)
+    got = language_id.identify(frame.where("lang = 'pl'"), language_id.train(frame), keep=[]).collect()
+    assert [r.lang_pred for r in got] == ["pl"] * 3
+
+
 def test_language_id_held_out_accuracy(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("out", language_id.held_out())
     model = language_id.train(frame.where("not out"))
