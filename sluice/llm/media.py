@@ -1,7 +1,7 @@
 """Media columns: Netpbm and BMP images decoded to numpy arrays, area-resized and hashed, and written as NPY tiles.
 
-Decoding is written out here for Netpbm (P1 to P6, one byte a sample) and uncompressed BMP (8-bit with palette, 24 and 32
-bits). resize() averages over exact areas by an integral image, so every sample of the source counts by the share of it
+Decoding is written out here for Netpbm (P1 to P6; two-byte samples are scaled to one) and uncompressed BMP (1, 4 and 8 bits
+with palette, 24 and 32 bits); BMP of 16 bits or with RLE is not read. resize() averages over exact areas by an integral image, so every sample of the source counts by the share of it
 that a target sample covers. The difference hash compares neighbours of a 9 x 8 thumbnail.
 
 For texts: the UTF-8 bytes, with bytes 0 appended up to a positive multiple of 64, are the samples of a grey Netpbm (P5)
@@ -50,8 +50,8 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
         at = m.end()
     w, h = head[:2]
     top = head[2] if n_head == 3 else 1
-    if not 0 < top < 256:
-        raise ValueError("only samples of one byte are read")
+    if not 0 < top < 65536:
+        raise ValueError("bad Netpbm maximum")
     depth = 3 if kind in (b"P3", b"P6") else 1
     if kind in (b"P2", b"P3"):
         flat = np.array(raw[at:].split()[: w * h * depth], np.uint16)
@@ -61,9 +61,10 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
         rows = np.frombuffer(raw, np.uint8, h * ((w + 7) // 8), at + 1).reshape(h, -1)
         flat = 1 - np.unpackbits(rows, axis=1)[:, :w].reshape(-1)
     elif kind in (b"P5", b"P6"):
-        if len(raw) < at + 1 + w * h * depth:
+        kind_of = np.dtype(np.uint8 if top < 256 else ">u2")
+        if len(raw) < at + 1 + w * h * depth * kind_of.itemsize:
             raise ValueError("short image")
-        flat = np.frombuffer(raw, np.uint8, w * h * depth, at + 1)
+        flat = np.frombuffer(raw, kind_of, w * h * depth, at + 1)
     else:
         raise ValueError("no Netpbm image")
     if flat.size != w * h * depth:
@@ -94,16 +95,19 @@ def decode_bmp(raw: bytes) -> np.ndarray:
     if raw[:2] != b"BM" or len(raw) < 54:
         raise ValueError("no BMP image")
     start, size, w, h, depth = num(10, 4), num(14, 4), num(18, 4, True), num(22, 4, True), num(28, 2)
-    if num(30, 4) not in (0, 3) or depth not in (8, 24, 32) or w <= 0 or not h:
+    if num(30, 4) not in (0, 3) or depth not in (1, 4, 8, 24, 32) or w <= 0 or not h:
         raise ValueError("unsupported BMP image")
-    stride = (w * depth // 8 + 3) // 4 * 4
+    stride = (w * depth + 31) // 32 * 4
     if len(raw) < start + stride * abs(h):
         raise ValueError("short image")
-    rows = np.frombuffer(raw, np.uint8, stride * abs(h), start).reshape(abs(h), stride)[:, : w * depth // 8]
+    rows = np.frombuffer(raw, np.uint8, stride * abs(h), start).reshape(abs(h), stride)[:, : (w * depth + 7) // 8]
     if h > 0:
         rows = rows[::-1]
-    if depth == 8:
-        colours = num(46, 4) or 256
+    if depth < 8:  # the leftmost sample is in the highest bits
+        rows = np.unpackbits(rows, axis=1) if depth == 1 else np.stack([rows >> 4, rows & 15], 2).reshape(abs(h), -1)
+        rows = rows[:, :w]
+    if depth <= 8:
+        colours = num(46, 4) or 1 << depth
         table = np.zeros((256, 4), np.uint8)
         table[:colours] = np.frombuffer(raw, np.uint8, colours * 4, 14 + size).reshape(-1, 4)
         out = table[rows][:, :, 2::-1]

@@ -431,6 +431,20 @@ def test_media_formats_round_trip():
             media.decode(bad)
 
 
+def test_media_two_byte_samples_and_small_palettes():
+    assert media.decode(b"P5\n2 1\n65535\n" + bytes((0, 0, 255, 255))).tolist() == [[0, 255]]
+    assert media.decode(b"P6 1 1 1023\n" + b"".join(x.to_bytes(2, "big") for x in (0, 512, 1023))).tolist() == [[[0, 128, 255]]]
+    assert media.decode(b"P2 2 1 1000\n0 1000").tolist() == [[0, 255]]
+    for depth in (1, 4):
+        a = np.arange(22).reshape(2, 11) * 7 % (1 << depth)
+        palette = b"".join(bytes((3 * i, 5 * i, 7 * i, 0)) for i in range(1 << depth))
+        rows = [np.packbits((x[:, None] >> np.arange(depth - 1, -1, -1)) & 1).tobytes() for x in a[::-1]]
+        body = b"".join(x + bytes(-len(x) % 4) for x in rows)
+        info = b"".join(x.to_bytes(n, "little") for x, n in ((40, 4), (11, 4), (2, 4), (1, 2), (depth, 2), (0, 4), (0, 4), (0, 4), (0, 4), (0, 4), (0, 4)))
+        raw = b"BM" + bytes(8) + (54 + len(palette)).to_bytes(4, "little") + info + palette + body
+        assert (media.decode(raw) == a[:, :, None] * np.array([7, 5, 3])).all()
+
+
 def test_area_resize_equals_brute_force():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 256, (11, 7)).astype(np.uint8)
