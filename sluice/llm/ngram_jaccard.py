@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import MULT, map_arrow, materialize, mix64, slices, text_buffer, words_of
+from .common import MULT, map_arrow, materialize, materialize_by, mix64, slices, text_buffer, words_of
 from .components import components
 
 WORDS = 5
@@ -331,7 +331,8 @@ def _in_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, tile: int = TILE, family_shingles: int = FAMILY_SHINGLES) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = materialize(map_arrow(whole, _signatures(words, percent), SIGNATURE).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    # by row, so that what follows reads keys and signatures of chosen rows without a shuffle of them
+    sig = materialize_by(map_arrow(whole, _signatures(words, percent), SIGNATURE).withColumn("row", F.monotonically_increasing_id()), "signatures", "row")
     full = sig.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     first = F.min(F.struct("doc_id", "row"))  # one row of the class, and its doc_id
     classes = materialize(full.groupBy("n", "d1", "d2").agg(first.alias("r")).select("n", "d1", "d2", F.col("r.doc_id").alias("node"), F.col("r.row").alias("row")), "classes")
@@ -339,7 +340,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     same = of_class.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
     # tiles: keys of two or more classes, one for each list of members
-    nodes = materialize(full.select("row", F.col("doc_id").alias("node"), "n", "keys", "bits").join(classes.select("row"), "row", "left_semi"), "nodes")
+    nodes = full.select("row", F.col("doc_id").alias("node"), "n", "keys", "bits").join(classes.select("row"), "row", "left_semi")
     prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     keyed = nodes.select("row", "node", "n", F.explode(F.slice("keys", F.lit(1), F.least(F.lit(KEYS), prefix).cast("int"))).alias("key"))
     heat = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > hot).select("key", F.lit(True).alias("is_hot")), "hot-keys")
@@ -352,12 +353,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         moved = spare.groupBy("row").agg(F.count(F.lit(1)).alias("cold")).where(F.col("cold") >= COLD).select("row")
         # every touched set has its cold keys, so that those that gave up hot ones meet those that did not
         keyed = keyed.join(touched, "row", "left_anti").unionByName(spare).unionByName(hot_keyed.join(moved, "row", "left_anti"))
-    h = F.xxhash64("node", "n")
-    lists = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(h).alias("x"), F.sum(F.xxhash64("n", "node").bitwiseAND(0xFFFFFFFF)).alias("s"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("members > 1")
-    lists = materialize(lists.groupBy("members", "x", "s", "lo", "hi").agg(F.min("key").alias("key")).select("key", "members"), "tiles")
+    # lists of members are told apart by their number and two hashes; no size decides how the lists come back to the members
+    same_list = [F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.xxhash64("node", "row").bitwiseAND(0xFFFFFFFF)).alias("s")]
+    lists = keyed.groupBy("key").agg(*same_list).where("members > 1")
+    lists = materialize(lists.groupBy("members", "x", "s").agg(F.min("key").alias("key")).select("key", "members"), "tiles")
     chunks = F.ceil(F.col("members") / F.lit(float(tile))).cast("int")
-    member = keyed.join(lists, "key").select("key", F.pmod(F.xxhash64("node"), chunks).cast("long").alias("sub"), (chunks > 1).alias("hot"), "node", "n")
-    member = member.join(nodes.select("node", "n", "bits"), ["node", "n"]).select("key", "sub", "hot", "node", F.col("n").alias("low"), F.col("n").alias("high"), F.col("bits").alias("every"), F.col("bits").alias("some"))
+    member = keyed.join(lists.hint("merge"), "key").select("row", "key", F.pmod(F.xxhash64("node"), chunks).cast("long").alias("sub"), (chunks > 1).alias("hot"), "node", "n")
+    member = member.join(sig.select("row", "bits"), "row").select("key", "sub", "hot", "node", F.col("n").alias("low"), F.col("n").alias("high"), F.col("bits").alias("every"), F.col("bits").alias("some"))
     first = materialize(_in_groups(member, ["key", "sub"], _tiles(percent), f"key long, {BOX}"), "tile-forest")
     forest = first.where("b is not null").select("a", "b")
     boxes = first.where("b is null")
