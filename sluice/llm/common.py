@@ -12,7 +12,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Text bytes that one numpy pass works on; bounds the temporaries of a Python worker.
 SLICE_BYTES = 1 << 20
@@ -83,10 +85,33 @@ def drop_table_files(df: DataFrame) -> None:
             drop_path(df.sparkSession, folder)
 
 
+def open_folder(path: str):
+    """(file system, path in it) of a folder, in a task."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_names(added: list[str], taken: list[str]) -> list[str]:
+    """The names of added columns; one that is taken (case aside) has underscores put after it until it is free."""
+    held, out = {x.lower() for x in taken}, []
+    for name in added:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def added_fields(ddl: str, taken: StructType) -> StructType:
+    """taken with the fields of ddl, under free names."""
+    new = StructType.fromDDL(ddl)
+    names = free_names(new.names, taken.names)
+    return StructType([*taken.fields, *[StructField(n, f.dataType) for n, f in zip(names, new.fields)]])
+
+
 # ------------------------------------------------------------------ Arrow text columns
 
 

@@ -16,6 +16,7 @@ is scored whole.
 
 Defined results: `und` with score 0 if a text is null or has no letter, or if nothing was learned. Equal texts get equal
 results. Rows with a null lang are not learned from. An empty table gives an empty result.
+An added column whose name is taken has an underscore put after it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, text_buffer
+from .common import added_fields, map_arrow, slices, text_buffer
 
 ORDER = 4
 DOCS_PER_LANG = 200
@@ -229,15 +230,15 @@ def _shared(df: DataFrame, model: PpmModel):
 def identify(docs: DataFrame, model: PpmModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns of `keep` with lang_pred and score, a row per row of docs."""
     held = docs.select(*[F.col(c) for c in keep or []], F.col(text_col).alias("__text"))
+    schema = added_fields("lang_pred string, score double", held.drop("__text").schema)
     shared = _shared(docs, model)
 
     def run(batches):
         for b in batches:
             langs, scores = score_batch(shared.value, b.column(b.num_columns - 1))
             cols = b.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    schema = held.drop("__text").schema.add("lang_pred", "string").add("score", "double")
     return map_arrow(held, run, schema)
 
 

@@ -13,7 +13,8 @@ by their numbers of tokens; both gather more as the corpus grows, while the driv
 counts and the averaged weights. Sums are over integers (weights in fixed point), so their order changes nothing.
 
 Defined results: a null text, or one without words, has n_tokens 0, logp 0 and a null mean. Equal texts have equal
-scores. Rows that repeat count each time. An empty table gives an empty result.
+scores. Rows that repeat count each time. An empty table gives an empty result. An added column whose name is
+taken has an underscore put after it.
 """
 
 from __future__ import annotations
@@ -24,9 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import MULT, map_arrow, slices, text_buffer, words_of
+from .common import MULT, added_fields, map_arrow, slices, text_buffer, words_of
 
 BUCKETS = 1 << 17
 CLASSES = 256
@@ -206,6 +206,7 @@ SCORE = "n_tokens long, logp double, mean_logp double"
 def score(docs: DataFrame, vocab: Vocabulary, net: Network, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns of `keep` with n_tokens, logp (the sum over all tokens, natural logarithm) and its mean."""
     held = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
+    schema = added_fields(SCORE, held.drop("__text").schema)
     shared = docs.sparkSession.sparkContext.broadcast((vocab, net))
 
     def run(batches):
@@ -223,6 +224,6 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, keep: list[str], tex
                         total[lo + i] = lp[first[i] : first[i + 1]].sum()
                     count[lo:hi] = np.diff(first)
             mean = pa.array(total / np.maximum(count, 1), pa.float64(), mask=count == 0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(count), pa.array(total), mean], names=[*b.schema.names[:-1], "n_tokens", "logp", "mean_logp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(count), pa.array(total), mean], names=schema.names)
 
-    return map_arrow(held, run, StructType([*held.drop("__text").schema.fields, *StructType.fromDDL(SCORE).fields]))
+    return map_arrow(held, run, schema)

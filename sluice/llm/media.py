@@ -8,7 +8,8 @@ For texts: the UTF-8 bytes, with bytes 0 appended up to a positive multiple of 6
 image of width 64; what is read back from the stored bytes gives every digest.
 
 Defined results: a null text is the empty one (64 bytes 0). Equal texts get equal values. An image that can't be
-decoded raises ValueError; decode_column gives null for it.
+decoded raises ValueError; decode_column gives null for it. An added column whose name is taken
+has an underscore put after it.
 """
 
 from __future__ import annotations
@@ -16,15 +17,16 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import map_arrow, text_buffer
+from .common import added_fields, map_arrow, materialize, open_folder, scratch_path, text_buffer
 
 WIDTH = 64
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
@@ -170,6 +172,7 @@ DECODED = "height int, width int, channels int, dhash string, tile binary"
 def decode_column(df: DataFrame, image_col: str, keep: list[str], height: int = 16, width: int = 16) -> DataFrame:
     """Size, difference hash and NPY tile of each image of a binary column; nulls where there is no readable image."""
     held = df.select(*[F.col(c) for c in keep], F.col(image_col).alias("__image"))
+    schema = added_fields(DECODED, held.drop("__image").schema)
 
     def features(raw):
         try:
@@ -182,9 +185,59 @@ def decode_column(df: DataFrame, image_col: str, keep: list[str], height: int =
         for b in batches:
             cols = list(zip(*map(features, b.column(b.num_columns - 1).to_pylist()))) or [[]] * 5
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[*b.schema.names[:-1], "height", "width", "channels", "dhash", "tile"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=schema.names)
 
-    return map_arrow(held, run, StructType([*held.drop("__image").schema.fields, *StructType.fromDDL(DECODED).fields]))
+    return map_arrow(held, run, schema)
+
+
+#: Tiles of an NPY file at most.
+TILES = 4096
+
+
+def write_tiles(df: DataFrame, image_col: str, id_col: str, path: str | None = None, height: int = 16, width: int = 16) -> tuple[DataFrame, str]:
+    """Write each image's tile into NPY files of up to TILES tiles of one kind (grey: n x height x width, colour: one more
+    axis). Returns (a row per row of df: the id, the file's name and the tile's place in it, nulls where there is no
+    readable image; the folder). A file is renamed to its name once it is whole, so a task that runs again replaces it."""
+    path = path or scratch_path(df.sparkSession, "tiles")
+    held = df.select(F.col(id_col).alias("id"), F.col(image_col).alias("image"))
+
+    def run(batches):
+        fs, root = open_folder(path)
+        part, number, ids, kept = TaskContext.get().partitionId(), 0, [], []
+
+        def put():
+            """The files of the tiles in hand, one a kind, and their rows."""
+            nonlocal number, ids, kept
+            fs.create_dir(root, recursive=True)
+            file, place = [None] * len(ids), [None] * len(ids)
+            for axes, kind in ((2, "grey"), (3, "colour")):
+                at = [i for i, t in enumerate(kept) if t is not None and t.ndim == axes]
+                if at:
+                    name, own = f"tiles-{part:06d}-{number:06d}-{kind}.npy", f"{root}/_{uuid.uuid4().hex}"
+                    out = io.BytesIO()
+                    np.save(out, np.stack([kept[i] for i in at]), allow_pickle=False)
+                    with fs.open_output_stream(own) as f:
+                        f.write(out.getvalue())
+                    fs.move(own, f"{root}/{name}")
+                    for k, i in enumerate(at):
+                        file[i], place[i] = name, k
+            row = pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(file, pa.string()), pa.array(place, pa.int32())], names=["id", "file", "place"])
+            number, ids, kept = number + 1, [], []
+            return row
+
+        for batch in batches:
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    kept.append(resize(decode(raw.as_py()), height, width))
+                except (ValueError, TypeError):
+                    kept.append(None)
+                ids.append(key)
+                if len(ids) == TILES:
+                    yield put()
+        if ids:
+            yield put()
+
+    return materialize(map_arrow(held, run, held.select("id").schema.add("file", "string").add("place", "integer")), "tile-manifest"), path
 
 
 def text_media(raw: bytes) -> bytes:
@@ -208,10 +261,10 @@ def text_columns(docs: DataFrame, keep: list[str], text_col: str = "text", with_
     """The columns of `keep` with the digests of each text's image (TEXT), and with_media the image and its tile."""
     held = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
     extra = ", media binary, tile binary" if with_media else ""
-    schema = StructType.fromDDL(TEXT + extra)
+    schema = added_fields(TEXT + extra, held.drop("__text").schema)
 
     def run(batches):
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()][: len(schema)]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()][: 9 if with_media else 7]
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -224,6 +277,6 @@ def text_columns(docs: DataFrame, keep: list[str], text_col: str = "text", with_
                         media = text_media(raw)
                         row += (media, npy_tile(decode(media)))
                     rows.append(row)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names=[*b.schema.names[:-1], *schema.names])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names=schema.names)
 
-    return map_arrow(held, run, StructType([*held.drop("__text").schema.fields, *schema.fields]))
+    return map_arrow(held, run, schema)

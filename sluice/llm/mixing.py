@@ -9,8 +9,8 @@ spreads over all partitions. A rate above 500 is split into parts, each inverted
 same distribution without underflow.
 
 Defined results: null is a source of its own. A null doc_id hashes as the empty text; rows that repeat a doc_id get the
-same count. A source without a weight gets weight 0, an empty table an empty result. Columns are carried as they are and
-may have any name but the four that are added.
+same count. A source without a weight gets weight 0, an empty table an empty result. Columns are carried as they are; an
+added column whose name is taken has an underscore put after it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import free_names, materialize, shuffle_partitions
 
 #: A rate is inverted in parts of at most this mean.
 PART = 500.0
@@ -85,5 +85,5 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5,
     n = shuffle_partitions(spark)
     slot = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * n).cast("int")
     out = out.repartitionById(n, slot).sortWithinPartitions("__key")
-    names = dict(__copy="copy", __copies="copies", __rate="rate", __key="shuffle_key")
-    return out.select(*[out[c] for c in docs.columns], *[F.col(k).alias(v) for k, v in names.items()])
+    names = zip(["__copy", "__copies", "__rate", "__key"], free_names(["copy", "copies", "rate", "shuffle_key"], docs.columns))
+    return out.select(*[out[c] for c in docs.columns], *[F.col(k).alias(v) for k, v in names])

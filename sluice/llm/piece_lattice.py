@@ -17,7 +17,8 @@ defined here, and need not be the merge order's.
 Decoding joins the pieces, turns byte pieces into bytes and marks into spaces, and drops the space put before the text.
 It restores every text exactly: a space mark in the text itself is encoded by bytes.
 
-Defined results: a null text has null ids; the empty text has an empty list. Equal texts get equal ids.
+Defined results: a null text has null ids; the empty text has an empty list. Equal texts get equal ids. An
+added column whose name is taken has an underscore put after it.
 """
 
 from __future__ import annotations
@@ -29,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import map_arrow, mix64, slices, text_buffer
+from .common import added_fields, map_arrow, mix64, slices, text_buffer
 
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -400,6 +400,7 @@ def encode_documents(docs: DataFrame, keep: list[str], text_col: str = "text", n
     """The columns of `keep` with the best ids, their score, the losses of the next n - 1 segmentations with the segments
     that each changes (rank from 2), and whether decoding gives back the text."""
     held = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
+    schema = added_fields(ENCODED, held.drop("__text").schema)
     change = pa.list_(pa.struct([("segment", pa.int32()), ("ids", pa.list_(pa.int32())), ("rank", pa.int32())]))
 
     def run(batches):
@@ -427,6 +428,6 @@ def encode_documents(docs: DataFrame, keep: list[str], text_col: str = "text", n
                     pa.array([[{"segment": p, "ids": x, "rank": r} for r, c in enumerate(g[3], 2) for p, x in c] if g else None for g in got], change),
                     pa.array(same, pa.bool_()),
                 ]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], "ids", "n_pieces", "score", "nbest_losses", "nbest_changes", "restored"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=schema.names)
 
-    return map_arrow(held, run, StructType([*held.drop("__text").schema.fields, *StructType.fromDDL(ENCODED).fields]))
+    return map_arrow(held, run, schema)

@@ -10,7 +10,7 @@ Batches are aggregated before the shuffle, so a source with a third of all rows
 
 Defined results: a null text has 0 tokens and 0 bytes and counts as a document. Null source and lang are groups of their
 own. Rows that repeat count each time. Groups whose documents are all gone are left out of the totals. An empty batch
-commits nothing but its name.
+commits nothing but its name. An added column whose name is taken has an underscore put after it.
 """
 
 from __future__ import annotations
@@ -18,9 +18,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import drop_path, map_arrow, scratch_path
+from .common import added_fields, drop_path, map_arrow, scratch_path
 from .tokens import TOKENIZERS, BpeEncoder, text_slices
 
 GROUP = ["source", "lang", "tokenizer"]
@@ -32,6 +31,7 @@ def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", token
     """The columns of `keep` with n_bytes and counts, an array of (tokenizer, tokens)."""
     paths = tokenizers or TOKENIZERS
     held = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
+    schema = added_fields("n_bytes long, counts array<struct<tokenizer:string,tokens:long>>", held.drop("__text").schema)
     kind = pa.list_(pa.struct([("tokenizer", pa.string()), ("tokens", pa.int64())]))
 
     def run(batches):
@@ -42,9 +42,9 @@ def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", token
                 per = {k: e.counts(texts).tolist() for k, e in encoders.items()}
                 counts = [[{"tokenizer": k, "tokens": v[i]} for k, v in per.items()] for i in range(len(texts))]
                 size = pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], size, pa.array(counts, kind)], names=[*b.schema.names[:-1], "n_bytes", "counts"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], size, pa.array(counts, kind)], names=schema.names)
 
-    return map_arrow(held, run, StructType([*held.drop("__text").schema.fields, *StructType.fromDDL("n_bytes long, counts array<struct<tokenizer:string,tokens:long>>").fields]))
+    return map_arrow(held, run, schema)
 
 
 def changes(counted: DataFrame, sign: int = 1) -> DataFrame:

@@ -25,12 +25,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, mix64, scratch_path, shuffle_partitions, text_buffer
+from .common import map_arrow, materialize, mix64, open_folder, scratch_path, shuffle_partitions, text_buffer
 from .tokens import END_OF_TEXT, TOKENIZERS, BpeEncoder, text_slices
 
 LENGTH = 2048
@@ -82,10 +81,6 @@ def shard_of(place, n: int, shards: int):
     return place * shards // n
 
 
-def _open(path: str):
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 class ShardReader:
     """Sequential reads from any slot on. sizes: the number of records of each shard."""
 
@@ -94,7 +89,7 @@ class ShardReader:
         self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     def read(self, slot: int, count: int):
-        fs, root = _open(self.path)
+        fs, root = open_folder(self.path)
         end, stride = min(slot + count, int(self.starts[-1])), 2 * self.length
         while slot < end:
             k = int(np.searchsorted(self.starts, slot, "right")) - 1
@@ -181,7 +176,7 @@ def _writer(path: str):
 
     def run(batches):
         """A partition holds whole shards, sorted by place; a file is written as the rows come."""
-        fs, root = _open(path)
+        fs, root = open_folder(path)
         out = own = shard = None
         at = 0
 

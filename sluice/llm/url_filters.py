@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from .common import map_arrow, materialize, shuffle_partitions
+from .common import free_names, map_arrow, materialize, shuffle_partitions
 
 DEFAULT = "allow"
 #: Sampled keys a cut; a sample is this many times the partitions.
@@ -124,24 +124,28 @@ def _bucketed(df: DataFrame, cuts: list[tuple[str, str]], high: bool) -> DataFra
 
 
 def judge(pages: DataFrame, rules: DataFrame, keep: list[str], url_col: str = "url", partitions: int | None = None) -> DataFrame:
-    """The columns of `keep` (whose names must not be key or path) with host, path, rule and verdict, a row per page.
+    """The columns of `keep` with host, path, rule and verdict, a row per page. An added column whose name is taken has an
+    underscore put after it.
 
     rules has host, path and verdict. A rule is written as its host and path.
     """
     spark = pages.sparkSession
     n = partitions or shuffle_partitions(spark)
     url = F.col(url_col)
-    held = pages.select(host_key(url_host(url)).alias("__key"), url_path(url).alias("__path"), *[F.col(c) for c in keep], url_host(url).alias("host"), url_path(url).alias("path"))
+    added = free_names(["host", "path", "rule", "verdict"], keep)
+    own = [f"__k{i}" for i in range(len(keep))]
+    held = pages.select(host_key(url_host(url)).alias("__key"), url_path(url).alias("__path"), *[F.col(c).alias(k) for c, k in zip(keep, own)], url_host(url).alias("host"), url_path(url).alias("path"))
     held = materialize(held, "urls")
     # the sample: the smallest hashes, so it is the same on every run and no larger than SAMPLE * n
-    order = F.xxhash64("__key", "__path", *keep)
+    order = F.xxhash64("__key", "__path", *own)
     sample = held.select("__key", "__path", order.alias("h")).orderBy("h", "__key", "__path").limit(SAMPLE * n).collect()
     sample = sorted((r[0], r[1]) for r in sample)
     cuts = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
     marks = rules.select(host_key(lower_ascii(F.col("host"))).alias("__key"), F.col("path").alias("__path"), F.concat("host", "path").alias("rule"), F.col("verdict"))
     marks = _bucketed(marks, cuts, True).withColumn("bucket", F.explode(F.sequence("bucket", "last"))).drop("last")
-    nulls = [F.lit(None).cast(held.schema[c].dataType).alias(c) for c in [*keep, "host", "path"]]
+    nulls = [F.lit(None).cast(held.schema[c].dataType).alias(c) for c in [*own, "host", "path"]]
     marks = marks.select("bucket", "__key", F.lit(0).alias("kind"), "__path", "rule", "verdict", *nulls)
-    rows = _bucketed(held, cuts, False).select("bucket", "__key", F.lit(1).alias("kind"), "__path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), *keep, "host", "path")
+    rows = _bucketed(held, cuts, False).select("bucket", "__key", F.lit(1).alias("kind"), "__path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), *own, "host", "path")
     laid = marks.union(rows).repartition(n, "bucket").sortWithinPartitions("bucket", "__key", "kind", "__path")
-    return map_arrow(laid, _sweep(len(keep)), StructType([*held.drop("__key", "__path").schema.fields, *StructType.fromDDL(OUT).fields]))
+    out = map_arrow(laid, _sweep(len(keep)), StructType([*held.drop("__key", "__path").schema.fields, *StructType.fromDDL(OUT).fields]))
+    return out.toDF(*keep, *added)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from sluice.llm import components as cc
-from sluice.llm import exact_dedup, language_id, lm_scoring, media, mixing, ngram_jaccard, token_counts, token_output, tokens, url_filters
+from sluice.llm import exact_dedup, language_id, lm_scoring, media, mixing, ngram_jaccard, piece_lattice, token_counts, token_output, tokens, url_filters
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
 BASE = "one two three four five six seven eight nine ten " * 3 + " ".join(f"tail{i}" for i in range(60))
@@ -457,3 +457,41 @@ def test_media_column_gives_null_for_unreadable(spark):
     good = media.encode_bmp(np.arange(48, dtype=np.uint8).reshape(4, 12))
     rows = media.decode_column(spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"x")), (3, None)], "id long, image binary"), "image", ["id"]).orderBy("id").collect()
     assert (rows[0].height, rows[0].width, rows[0].channels) == (4, 12, 1) and rows[1].dhash is None and rows[2].tile is None
+
+
+# ------------------------------------------------------------------ clashing names
+
+
+def test_added_names_that_are_taken(spark):
+    names = ["copy", "copies", "rate", "shuffle_key", "ids", "score", "lang_pred", "n_tokens", "LOGP", "n_bytes", "counts", "feature", "node", "component", "key", "row"]
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "en", "s", *[f"{n}{i}" for n in names]) for i in range(4)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    model = language_id.train(docs)
+    nothing = lm_scoring.vocabulary(np.zeros(lm_scoring.BUCKETS))
+    keep = docs.columns
+    outs = {
+        "shuffle_key_": mixing.mix(docs), "lang_pred_": language_id.identify(docs, model, keep=keep), "n_tokens_": lm_scoring.score(docs, nothing, lm_scoring.Network.first(nothing.class_logp), keep),
+        "counts_": token_counts.count_tokens(docs, keep), "feature_": media.text_columns(docs, keep), "ids_": piece_lattice.encode_documents(docs, keep),
+    }
+    for name, out in outs.items():
+        assert name in out.columns and len({c.lower() for c in out.columns}) == len(out.columns)
+        assert out.columns[: len(keep)] == keep and all(r["ids"] == f"ids{r.doc_id}" and r["copy"] == f"copy{r.doc_id}" for r in out.collect())
+    for same in (exact_dedup.dedup(docs), ngram_jaccard.dedup_near(docs), language_id.accept(docs, model)):
+        assert same.columns == keep and same.count() >= 1
+    pages = spark.createDataFrame([(1, "http://a.com/en/", "h", "p", "v")], "page_id long, url string, host string, path string, verdict string")
+    rules = spark.createDataFrame(url_filters.RULES, "host string, path string, verdict string")
+    got = url_filters.judge(pages, rules, ["page_id", "host", "path", "verdict"]).first().asDict()
+    assert got == dict(page_id=1, host="h", path="p", verdict="v", host_="a.com", path_="/en/", rule="com/en/", verdict_="block")
+
+
+def test_tiles_are_written(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    images = [rng.integers(0, 256, (20 + i, 30) if i % 2 else (20 + i, 30, 3)).astype(np.uint8) for i in range(9)]
+    rows = [(i, media.encode_bmp(a) if i % 3 else media.encode_netpbm(a)) for i, a in enumerate(images)] + [(50, b"none"), (51, None)]
+    df = spark.createDataFrame(rows, "doc_id long, image binary").repartition(2)
+    got, folder = media.write_tiles(df, "image", "doc_id", str(tmp_path / "tiles"))
+    got = {r.id: r for r in got.collect()}
+    assert len(got) == 11 and got[50].file is None and got[51].place is None
+    for i, a in enumerate(images):
+        assert (np.load(f"{folder}/{got[i].file}")[got[i].place] == media.resize(a, 16, 16)).all()
+    assert all(x.startswith("tiles-") for x in os.listdir(folder))
+    assert media.write_tiles(df.limit(0), "image", "doc_id", str(tmp_path / "none"))[0].count() == 0
