@@ -12,19 +12,24 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c) -> Column:
+    """Without white space at both ends."""
+    return F.trim(_col(c), F.lit(" \t\n\x0b\x0c\r"))
+
+
 # ------------------------------------------------------------------ coercion
 
 
 def coerce_str(c) -> Column:
     """Trimmed text; empty, none, null and nan are null; a trailing .0 of digits goes."""
-    t = F.trim(_col(c).cast("string"))
+    t = strip(_col(c).cast("string"))
     t = F.when(~F.lower(t).isin("", "none", "null", "nan"), t)
     return F.regexp_replace(t, r"^([0-9]+)\.0$", "$1")
 
 
 def coerce_float(c) -> Column:
     """A double, null for text that is none and for NaN."""
-    d = F.trim(_col(c).cast("string")).try_cast("double")
+    d = strip(_col(c).cast("string")).try_cast("double")
     return F.when(~F.isnan(d), d)
 
 
@@ -35,13 +40,13 @@ def coerce_int(c) -> Column:
 
 
 def coerce_bool(c, default: bool | None = None) -> Column:
-    t = F.lower(F.trim(_col(c).cast("string")))
+    t = F.lower(strip(_col(c).cast("string")))
     return F.when(t.isin("1", "true", "t", "yes", "y"), True).when(t.isin("0", "false", "f", "no", "n"), False).otherwise(F.lit(default).cast("boolean"))
 
 
 def first_present(*cols) -> Column:
     """The first of the texts that is neither null nor blank."""
-    return F.coalesce(*[F.when(F.trim(_col(c)) != "", _col(c)) for c in cols])
+    return F.coalesce(*[F.when(strip(_col(c)) != "", _col(c)) for c in cols])
 
 
 def first_float(*cols) -> Column:
@@ -63,7 +68,7 @@ def cast_or_keep(c, kind: str) -> Column:
 
 def parse_timestamp(c) -> Column:
     """ISO text as a timestamp without zone; a zone is applied, naive text is UTC (under a UTC session)."""
-    return F.try_to_timestamp(F.regexp_replace(F.trim(_col(c)), "Z$", "+00:00")).cast("timestamp_ntz")
+    return F.try_to_timestamp(F.regexp_replace(strip(_col(c)), "Z$", "+00:00")).cast("timestamp_ntz")
 
 
 # ------------------------------------------------------------------ keys
@@ -71,7 +76,7 @@ def parse_timestamp(c) -> Column:
 
 def stable_numeric_id(c) -> Column:
     """Digits without leading zeros and without a trailing .0; null for anything else."""
-    t = F.regexp_replace(F.trim(_col(c).cast("string")), r"\.0$", "")
+    t = F.regexp_replace(strip(_col(c).cast("string")), r"\.0$", "")
     return F.when(t.rlike("^[0-9]+$"), F.regexp_replace(t, "^0+(?=[0-9])", ""))
 
 
@@ -82,8 +87,8 @@ def stable_pr_key(repository_id, number) -> Column:
 
 def repository_key(c) -> Column:
     """owner/name, trimmed and lower-cased, cut at the first slash."""
-    t = F.trim(_col(c).cast("string"))
-    owner, name = F.trim(F.substring_index(t, "/", 1)), F.trim(F.regexp_extract(t, "(?s)^[^/]*/(.*)$", 1))
+    t = strip(_col(c).cast("string"))
+    owner, name = strip(F.substring_index(t, "/", 1)), strip(F.regexp_extract(t, "(?s)^[^/]*/(.*)$", 1))
     return F.when(t.contains("/") & (owner != "") & (name != ""), F.lower(F.concat(owner, F.lit("/"), name)))
 
 
@@ -119,7 +124,7 @@ def stable_hash(*parts) -> Column:
 
 def url_variants(c) -> Column:
     """The URL without and with a trailing slash."""
-    bare = F.regexp_replace(F.trim(_col(c)), "/+$", "")
+    bare = F.regexp_replace(strip(_col(c)), "/+$", "")
     return F.array(bare, F.concat(bare, F.lit("/")))
 
 
@@ -144,7 +149,8 @@ def popularity_label(c) -> Column:
 
 
 def characteristic_language(c) -> Column:
-    t = F.lower(F.trim(_col(c)))
+    t = F.lower(strip(_col(c)))
+    t = F.when(t == "js", "javascript").when(t.isin("cpp", "cxx"), "c++").otherwise(t)
     return F.when(t.isin(*CHARACTERISTIC_LANGUAGES), t)
 
 
@@ -153,7 +159,7 @@ _FAILED = ("failed", "failure", "error", "timeout", "timed_out", "crashed")
 
 def refactoring_status(c) -> Column:
     """missing, success, unsupported, failed or other."""
-    t = F.lower(F.trim(F.coalesce(_col(c), F.lit(""))))
+    t = F.lower(strip(F.coalesce(_col(c), F.lit(""))))
     return (
         F.when(t == "", "missing")
         .when(t == "success", "success")
@@ -164,7 +170,7 @@ def refactoring_status(c) -> Column:
 
 
 def maintainability_status(c, indicator) -> Column:
-    t, i = (F.lower(F.trim(F.coalesce(_col(x), F.lit("")))) for x in (c, indicator))
+    t, i = (F.lower(strip(F.coalesce(_col(x), F.lit("")))) for x in (c, indicator))
     failed = F.lit(False)
     for x in (t, i):
         failed = failed | x.isin(*_FAILED) | x.startswith("fail") | x.contains("error")
@@ -191,12 +197,12 @@ def overall_status(statuses) -> Column:
 
 def snapshot_available(available, snapshot, commit) -> Column:
     """Any of the two flags, or a commit."""
-    return F.coalesce(_col(available), F.lit(False)) | F.coalesce(_col(snapshot), F.lit(False)) | F.coalesce(F.trim(_col(commit)) != "", F.lit(False))
+    return F.coalesce(_col(available), F.lit(False)) | F.coalesce(_col(snapshot), F.lit(False)) | F.coalesce(strip(_col(commit)) != "", F.lit(False))
 
 
 def future_snapshot_available(available, snapshot, commit) -> Column:
     """The first flag that is set at all, else whether there is a commit."""
-    return F.coalesce(_col(available), _col(snapshot), F.coalesce(F.trim(_col(commit)) != "", F.lit(False)))
+    return F.coalesce(_col(available), _col(snapshot), F.coalesce(strip(_col(commit)) != "", F.lit(False)))
 
 
 # ------------------------------------------------------------------ numbers, maps, JSON
@@ -244,7 +250,7 @@ def sorted_json(m) -> Column:
 
 
 def looks_like_json(c) -> Column:
-    return F.trim(_col(c)).rlike(r"(?s)^(\{.*\}|\[.*\])$")
+    return strip(_col(c)).rlike(r"(?s)^(\{.*\}|\[.*\])$")
 
 
 def decode_json(c) -> Column:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .constants import EXTENSIONS
 from .scalars import _col
 
+# Characters of a text that are read per token of a limit, and at least.
+WINDOW, LEAST_WINDOW = 200, 4096
+
+# Endings of English plurals and what stands for them.
+NOUN_ENDINGS = [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")]
+
 
 def infer_language(path) -> Column:
     """Language by the extension after the last dot of the last path part."""
@@ -84,10 +91,71 @@ def topic_slug(c) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(_col(c))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def topic_name(c) -> Column:
+    return F.lower(F.trim(F.coalesce(_col(c), F.lit(""))))
+
+
 def plural_variants(c) -> Column:
-    """The word with its plural or singular: y and ies, with and without s."""
-    t = _col(c)
-    return F.array_distinct(F.array(t, F.when(t.endswith("y"), F.regexp_replace(t, "y$", "ies")).when(t.endswith("s"), F.regexp_replace(t, "s$", "")).otherwise(F.concat(t, F.lit("s")))))
+    """Simple plural and singular forms: y as ies, with an s, without its last s; short words keep theirs."""
+    t, n = _col(c), F.length(_col(c))
+    ies = F.when(t.endswith("y") & (n > 2), F.regexp_replace(t, "y$", "ies"))
+    return F.array_compact(F.array(ies, F.when(~t.endswith("s"), F.concat(t, F.lit("s"))), F.when(t.endswith("s") & (n > 3), F.regexp_replace(t, "s$", ""))))
+
+
+def text_window(c, limit: int | None) -> Column:
+    """The head of a text that is read for so many tokens: WINDOW characters each, LEAST_WINDOW at least."""
+    return _col(c) if limit is None or limit <= 0 else F.substring(_col(c), 1, max(LEAST_WINDOW, limit * WINDOW))
+
+
+def split_known(token: str, words: list[str], allowed: frozenset[str] | None) -> list[str]:
+    """A file name's token split at known words (longest first) at its ends, so that all parts are allowed; without a list of
+    allowed ones at most twice, into parts of two letters or more."""
+    t = (token or "").strip().lower()
+    if len(t) < 4:
+        return [t] if t else []
+
+    def cuts(x: str):
+        for w in words:
+            if len(w) > 1 and w != x:
+                if x.startswith(w):
+                    yield w, x[len(w) :], True
+                if x.endswith(w):
+                    yield x[: -len(w)], w, False
+
+    known: dict[str, list[str] | None] = {}
+
+    def whole(x: str) -> list[str] | None:
+        if x in allowed:
+            return [x]
+        if x not in known:
+            known[x] = None
+            for a, b, at_start in cuts(x):
+                rest = whole(b if at_start else a) if (a if at_start else b) in allowed else None
+                if rest is not None:
+                    known[x] = [a, *rest] if at_start else [*rest, b]
+                    break
+        return known[x]
+
+    def once(x: str) -> list[str]:
+        fits = ([a, b] for a, b, _ in cuts(x) if min(len(a), len(b)) > 1 and (allowed is None or {a, b} <= allowed))
+        return next(fits, [x])
+
+    if allowed is not None and (found := whole(t)) is not None:
+        return found
+    first = once(t)
+    return first if first == [t] else [y for x in first for y in once(x)]
+
+
+def split_known_tokens(c, words: list[str], allowed: list[str] | None = None) -> Column:
+    """split_known() over a column; the search has a state, so it runs in Arrow batches, each distinct token once."""
+    order, ok = sorted(set(words), key=lambda w: (-len(w), w)), None if allowed is None else frozenset(allowed)
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        of = {t: split_known(t, order, ok) for t in s.dropna().unique()}
+        return s.map(lambda t: of.get(t, []))
+
+    return run(_col(c))
 
 
 def path_order(path) -> list[Column]:

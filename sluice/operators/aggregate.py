@@ -96,6 +96,32 @@ def line_duplication(df: DataFrame, key: str, text: str) -> DataFrame:
     return out.withColumn("density", F.col("duplicated") * F.lit(100.0) / F.col("lines"))
 
 
+def capped_limits(df: DataFrame, value: str, low: float = 1.0, high: float = 99.0, from_zero: bool = True) -> DataFrame:
+    """Limits of an axis from the low and high percentiles, a little wider, with the values that fall outside. Values that are
+    none negative start at 0, if from_zero; without a finite value there is no row."""
+    v = F.col(value).cast("double")
+    finite = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select(v.alias("v"))
+    q, least, most, n = finite.agg(F.percentile("v", F.array(F.lit(low / 100), F.lit(high / 100))), F.min("v"), F.max("v"), F.count("v")).first()
+    kind = "lower double, upper double, below_count long, above_count long, total_count long, is_clipped boolean"
+    if not n:
+        return df.sparkSession.createDataFrame([], kind)
+    zero = from_zero and least >= 0
+    lower, upper = (0.0 if zero else q[0]), (0.0 if not zero and most <= 0 else q[1])
+    pad = (upper - lower) * 0.06 if upper != lower else max(abs(lower) * 0.08, 0.05)
+    lower, upper = (0.0 if zero else lower - pad), upper + pad
+    below, above = F.count_if(F.col("v") < lower), F.count_if(F.col("v") > upper)
+    return finite.agg(F.lit(lower).alias("lower"), F.lit(upper).alias("upper"), below.alias("below_count"), above.alias("above_count"), F.count("v").alias("total_count"), (below + above > 0).alias("is_clipped"))
+
+
+def labels_by_share(df: DataFrame, group: str, label: str, share: str, labels: list[str]) -> DataFrame:
+    """The labels by their mean share over all groups, a group without a label counting 0; ties in the given order."""
+    groups = df.select(group).distinct().count()
+    place = F.array_position(F.array(*map(F.lit, labels)), F.col(label))
+    out = df.where(F.col(label).isin(*labels)).groupBy(label).agg((F.sum(F.col(share).cast("double")) / F.lit(float(max(groups, 1)))).alias("mean_share"))
+    all_labels = df.sparkSession.createDataFrame([(x,) for x in labels], f"{label} string").join(out, label, "left")
+    return all_labels.withColumn("mean_share", F.coalesce("mean_share", F.lit(0.0))).withColumn("position", F.row_number().over(W.orderBy(F.desc("mean_share"), place)))
+
+
 def numeric_summary(df: DataFrame, group: list[str], value: str) -> DataFrame:
     v = F.col(value).cast("double")
     return df.groupBy(*group).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.percentile(v, F.lit(0.5)).alias("median"), F.avg(v).alias("mean"), F.max(v).alias("max"))

@@ -86,12 +86,37 @@ def lrap(scored: DataFrame, truth: DataFrame, key: str) -> DataFrame:
 
 
 def threshold_metrics(scored: DataFrame, truth: DataFrame, key: str, threshold: float) -> DataFrame:
-    """Micro precision, recall and F1, subset accuracy, Hamming loss and mean labels at a threshold."""
-    t = scored.join(truth.select(key, "topic", F.lit(1).alias("y")), [key, "topic"], "left").select(key, (F.col("score") > threshold).cast("int").alias("p"), F.coalesce("y", F.lit(0)).alias("y"))
-    per = t.groupBy(key).agg(F.sum(F.col("p") * F.col("y")).alias("tp"), F.sum("p").alias("pp"), F.sum("y").alias("yy"), F.sum((F.col("p") != F.col("y")).cast("int")).alias("wrong"), F.count(F.lit(1)).alias("n"))
-    s = per.agg(*[F.sum(c).alias(c) for c in ("tp", "pp", "yy", "wrong", "n")], F.avg((F.col("wrong") == 0).cast("double")).alias("subset_accuracy"), F.avg("pp").alias("mean_labels"))
-    p, r = F.col("tp") / F.nullif(F.col("pp"), F.lit(0)), F.col("tp") / F.nullif(F.col("yy"), F.lit(0))
-    return s.select(p.alias("precision"), r.alias("recall"), (2 * F.col("tp") / F.nullif(F.col("pp") + F.col("yy"), F.lit(0))).alias("f1"), "subset_accuracy", (F.col("wrong") / F.col("n")).alias("hamming_loss"), "mean_labels")
+    """All metrics of the decisions score > threshold, in one row. scored has every label of every key.
+
+    precision, recall, f1 are over all decisions; _macro, _weighted and _samples are means over labels, labels by their true
+    number, and keys; 0 where there is nothing to divide by. Ranking metrics rank by the decision, so a tie counts as an error.
+    auc_* are null if a label has one class only."""
+    t = scored.join(truth.select(key, "topic", F.lit(1).alias("y")), [key, "topic"], "left").select(F.col(key).cast("string").alias("k"), "topic", (F.col("score") > threshold).cast("int").alias("p"), F.coalesce("y", F.lit(0)).alias("y"))
+    # by key and by label in one pass
+    g = t.groupingSets([[F.col("k")], [F.col("topic")]], F.col("k"), F.col("topic")).agg(F.sum(F.col("p") * F.col("y")).alias("tp"), F.sum("p").alias("pp"), F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"), F.grouping("k").alias("is_label"))
+    tp, pp, pos, n = (F.col(c).cast("double") for c in ("tp", "pp", "pos", "n"))
+    fp, fn = pp - tp, pos - tp
+    div = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    both = F.col("is_label") == 1
+    key_mean = lambda c: F.avg(F.when(~both, c))
+    label_mean = lambda c: F.avg(F.when(both, c))
+    total = lambda c: F.sum(F.when(both, c))
+    each = {"precision": div(tp, pp), "recall": div(tp, pos), "f1": div(2 * tp, pp + pos)}
+    auc = F.when((pos > 0) & (pos < n), (1 + tp / pos - fp / (n - pos)) / 2)
+    ap = F.when(pos > 0, div(tp, pos) * div(tp, pp) + (1 - div(tp, pos)) * pos / n).otherwise(F.lit(0.0))
+    s_tp, s_pp, s_pos, s_n = total(tp), total(pp), total(pos), total(n)
+    micro_auc = F.when((s_pos > 0) & (s_pos < s_n), (1 + s_tp / s_pos - (s_pp - s_tp) / (s_n - s_pos)) / 2)
+    whole = F.count(F.when(both & auc.isNull(), 1)) == 0
+    wrong_pairs = F.when((pos > 0) & (pos < n), (fn * (n - pos) + tp * fp) / (pos * (n - pos))).otherwise(F.lit(0.0))
+    reach = F.when(pos == 0, F.lit(0.0)).when(fn > 0, n).otherwise(pp)
+    return g.agg(
+        div(s_tp, s_pp).alias("precision"), div(s_tp, s_pos).alias("recall"), div(2 * s_tp, s_pp + s_pos).alias("f1"),
+        key_mean((fp + fn == 0).cast("double")).alias("subset_accuracy"), (total(fp + fn) / s_n).alias("hamming_loss"), key_mean(pp).alias("mean_labels"),
+        key_mean((tp > 0).cast("double")).alias("success_rate"), label_mean((pp > 0).cast("double")).alias("coverage"), key_mean(wrong_pairs).alias("ranking_loss"), key_mean(reach).alias("coverage_error"),
+        *[label_mean(c).alias(f"{k}_macro") for k, c in each.items()], *[div(total(c * pos), s_pos).alias(f"{k}_weighted") for k, c in each.items()], *[key_mean(c).alias(f"{k}_samples") for k, c in each.items()],
+        micro_auc.alias("auc_micro"), F.when(whole, label_mean(auc)).alias("auc_macro"), F.when(whole, total(auc * pos) / s_pos).alias("auc_weighted"),
+        (div(s_tp, s_pos) * div(s_tp, s_pp) + (1 - div(s_tp, s_pos)) * s_pos / s_n).alias("average_precision_micro"), label_mean(ap).alias("average_precision_macro"),
+    )
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -133,6 +134,85 @@ def text_operations(df: DataFrame, keep: list[str], report: str) -> DataFrame:
     return df.select(*keep, F.posexplode(lines).alias("index", "description")).withColumn("raw_type", raw)
 
 
+BLOCKS = "index int, raw_type string, description string"
+#: Lines of a block report that say nothing about an operation.
+_NOISE = re.compile(r"the following refactorings were detected|the following lines of the current version|lines changed in total|=|\d+$|$", re.I)
+
+
+def block_operations_of(text: str | None) -> list[tuple[int, str, str]]:
+    """Operations of a report in blocks: numbered blocks `1)` between the heading of detected refactorings and that of
+    functionality changes or the summary. A block's first line has the type, parted from the description by a tab or two
+    spaces; later lines go on with it."""
+    lines = [x.strip() for x in (text or "").splitlines()]
+    heads = [i for i, x in enumerate(lines) if "detected refactorings" in x.lower()]
+    if not heads:
+        return []
+    body = [x for x in lines[heads[0] :] if "detected refactorings" not in x.lower()]
+    end = next((i for i, x in enumerate(body) if "detected functionality changes" in x.lower() or x.lower().startswith("summary")), len(body))
+    blocks: list[list[str]] = [[]]
+    for x in body[:end]:
+        if re.fullmatch(r"\d+\)", x):
+            blocks.append([])
+        elif not _NOISE.match(x):
+            blocks[-1].append(x)
+    out = []
+    for i, (head, *rest) in enumerate(b for b in blocks if b):
+        kind, _, said = head.partition("\t") if "\t" in head else head.partition("  ")
+        out.append((i, kind.strip() or head, " ".join([said.strip() or head, *rest])))
+    return out
+
+
+DESIGN = "smell string, category string, severity string, path string, line int, column int, message string"
+_DESIGN = [("smell", "name", "rule", "type"), ("category", "smellCategory", "level"), ("severity", "priority"), ("file", "filePath", "path"), ("line", "startLine", "beginLine"), ("column", "startColumn", "beginColumn"), ("description", "message", "details")]
+_CHILDREN = ("smells", "issues", "violations", "results", "data", "items")
+
+
+def design_findings_of(text: str | None) -> list[tuple]:
+    """Findings of a nested design report: an object's child lists and objects, at any depth, stand for it; an object without a
+    smell is none."""
+    try:
+        todo, out = [json.loads(text or "")], []
+    except ValueError:
+        return []
+    while todo:
+        x = todo.pop()
+        if isinstance(x, list):
+            todo += reversed(x)
+        elif isinstance(x, dict):
+            inner = [x[c] for c in _CHILDREN if isinstance(x.get(c), (list, dict))]
+            if inner:
+                todo += reversed(inner)
+                continue
+            f = [next((x[n] for n in names if x.get(n) not in (None, "")), None) for names in _DESIGN]
+            if f[0]:
+                number = [int(float(v)) if re.fullmatch(r"\d+(\.\d*)?", str(v)) else None for v in f[4:6]]
+                out.append((str(f[0]), *[None if v is None else str(v) for v in f[1:4]], *number, str(f[6] or f[0])))
+    return out
+
+
+def _rows_of(df: DataFrame, keep: list[str], report: str, parse, schema: str) -> DataFrame:
+    """A row per tuple that parse gives for a report; a parser with a state over lines runs in Arrow batches."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(*k, *r) for *k, d in pdf.itertuples(index=False, name=None) for r in parse(d)]
+            out = pd.DataFrame(rows, columns=[*keep, *names])
+            yield out.astype({n: "Int32" for n, k in (f.split() for f in schema.split(", ")) if k == "int"})
+
+    held = df.select(*keep, F.col(report).alias("__report"))
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1])
+    return held.mapInPandas(run, f"{own}, {schema}" if own else schema)
+
+
+def block_operations(df: DataFrame, keep: list[str], report: str) -> DataFrame:
+    return _rows_of(df, keep, report, block_operations_of, BLOCKS)
+
+
+def design_findings(df: DataFrame, keep: list[str], report: str) -> DataFrame:
+    return _rows_of(df, keep, report, design_findings_of, DESIGN)
+
+
 def eslint_severity(c):
     return F.when(F.col(c) == 1, "warning").when(F.col(c) == 2, "error").otherwise("unknown")
 

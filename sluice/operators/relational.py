@@ -59,9 +59,10 @@ def asof_next(targets: DataFrame, events: DataFrame, by: list[str], at: str, eve
     names = [c for c in targets.columns if c not in by]
     t = targets.select(*by, F.col(at).alias("__t"), F.lit(1).alias("__kind"), *names)
     both = t.unionByName(e.drop("__at"), allowMissingColumns=True)
-    # targets stand behind events of their own time, so the frame of later rows has later events only
-    nxt = F.first("__e", ignorenulls=True).over(W.partitionBy(*by).orderBy("__t", "__kind").rowsBetween(1, W.unboundedFollowing))
-    return both.withColumn("__n", nxt).where("__kind = 1").select(*targets.columns, F.col("__n.t").alias(out_at), F.col("__n.v").alias(out))
+    # from the last time back, targets before events of their own time: the rows before a target have later events only, and
+    # a running frame is kept up in one pass, where one that ends with the partition is computed anew for each row
+    back = W.partitionBy(*by).orderBy(F.desc("__t"), F.desc("__kind")).rowsBetween(W.unboundedPreceding, -1)
+    return both.withColumn("__n", F.last("__e", ignorenulls=True).over(back)).where("__kind = 1").select(*targets.columns, F.col("__n.t").alias(out_at), F.col("__n.v").alias(out))
 
 
 def interval_overlap(left: DataFrame, right: DataFrame, by: list[str], bin_size: int, start: str = "start", end: str = "end") -> DataFrame:
@@ -103,6 +104,26 @@ def nearest(targets: DataFrame, pool: DataFrame, by: list[str], distance: list[C
     return first_rows(targets.join(pool, by), [id_col], distance, keep_null_keys=False)
 
 
+def nearest_in_buckets(targets: DataFrame, pool: DataFrame, by: list[str], bucket: str, value: str, target_id: str, pool_id: str) -> DataFrame:
+    """For each target the pool row of its group with the nearest bucket, then the nearest value, the least value and the least
+    id: (target_id, pool_id, bucket, value). Only distinct buckets are paired; in a bucket, one sort each way finds the next
+    value below and above, so a large group costs no pairs."""
+    have = pool.select(*by, F.col(bucket).alias("__b")).distinct()
+    want = targets.select(*by, F.col(bucket).alias("__t")).distinct()
+    gaps = want.join(have, by).withColumn("__gap", F.abs(F.col("__b") - F.col("__t")))
+    near = gaps.join(gaps.groupBy(*by, "__t").agg(F.min("__gap").alias("__gap")), [*by, "__t", "__gap"]).drop("__gap")
+    t = targets.select(*by, F.col(bucket).alias("__t"), F.col(value).alias("__v"), F.col(target_id).alias("__id")).join(near, [*by, "__t"]).select(*by, "__b", "__v", "__id", F.lit(1).alias("__kind"))
+    p = pool.groupBy(*by, F.col(bucket).alias("__b"), F.col(value).alias("__v")).agg(F.min(pool_id).alias("__p"))
+    p = p.select(*by, "__b", "__v", F.struct(F.col("__v").alias("v"), F.col("__p").alias("p"), F.col("__b").alias("b")).alias("__c"), F.lit(0).alias("__kind"))
+    both = t.unionByName(p, allowMissingColumns=True)
+    w = W.partitionBy(*by, "__b")
+    at = lambda order: F.last("__c", ignorenulls=True).over(w.orderBy(order, "__kind").rowsBetween(W.unboundedPreceding, 0))
+    found = both.withColumn("__lo", at(F.asc("__v"))).withColumn("__hi", at(F.desc("__v"))).where("__kind = 1")
+    c = found.select("__id", "__v", F.explode(F.array_compact(F.array("__lo", "__hi"))).alias("c"))
+    best = c.groupBy("__id").agg(F.min(F.struct(F.abs(F.col("c.v") - F.col("__v")).alias("d"), F.col("c.v").alias("v"), F.col("c.p").alias("p"), F.col("c.b").alias("b"))).alias("m"))
+    return best.select(F.col("__id").alias(target_id), F.col("m.p").alias(pool_id), F.col("m.b").alias(bucket), F.col("m.v").alias(value))
+
+
 def read_once(df: DataFrame, target: DataFrame | None, keys: list[str]) -> DataFrame:
     """Rows none of whose keys is known to the target, each key once."""
     out = df.dropDuplicates(keys)

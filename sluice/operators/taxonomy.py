@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_named_type, lookup_key, smell_lookup_key
+from ..functions.text import NOUN_ENDINGS, is_named_type, lookup_key, smell_lookup_key
 from .facts import dim_join
 
 # Refactoring labels of low and of medium level; every other known label is high.
@@ -41,6 +41,20 @@ def standardize(df: DataFrame, label: str, aliases: DataFrame, canonical: DataFr
     return out.withColumn("standard", F.coalesce("__a", "__c")).drop("__key", "__a", "__c")
 
 
+def lemmas(tokens: DataFrame, token: str, vocabulary: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """(token, lemma) of the distinct tokens: an exception's lemma, else the shortest of the token and its forms without a
+    plural ending that is in the vocabulary (column lemma), else the token."""
+    t = F.col("token")
+    forms = F.array(t, *[F.when(t.endswith(a) & (F.length(t) > len(a)), F.concat(F.substring(t, F.lit(1), F.length(t) - len(a)), F.lit(b))) for a, b in NOUN_ENDINGS])
+    one = tokens.select(F.col(token).alias("token")).where("token is not null").distinct()
+    found = dim_join(one.select("token", F.explode(F.array_compact(forms)).alias("lemma")), vocabulary.select("lemma").distinct(), "lemma", "inner")
+    best = found.groupBy("token").agg(F.min(F.struct(F.length("lemma").alias("n"), "lemma")).alias("b")).select("token", F.col("b.lemma").alias("__l"))
+    out = one.join(best, "token", "left")
+    if exceptions is not None:
+        out = dim_join(out, exceptions.select("token", F.col("lemma").alias("__x")).dropDuplicates(["token"]), "token")
+    return out.select("token", F.coalesce(*(["__x"] if exceptions is not None else []), "__l", "token").alias("lemma"))
+
+
 def smell_by_message(message, needles: list[tuple[str, str]]):
     """The smell of the first needle that the message contains; null if none does."""
     out = F.lit(None).cast("string")

@@ -1,5 +1,5 @@
 """Query plans over the registered tables."""
 
-from . import activity, domain, joins, normalize, reports, statistics, streams
+from . import activity, curation, domain, joins, normalize, reports, statistics, streams
 
-MODULES = [activity, joins, statistics, normalize, domain, streams, reports]
+MODULES = [activity, joins, statistics, normalize, domain, curation, streams, reports]

@@ -40,8 +40,8 @@ def touched_lines(spark, d):
 
 def file_availability(spark, d):
     e = read_table(spark, d, "events").select("user_id", (F.col("event_id") % 50).cast("string").alias("path"), "event_id")
-    status = F.when(F.col("event_id") % 100 < 30, "present").when(F.col("event_id") % 100 < 40, "deleted").otherwise("renamed")
-    seen = e.where("event_id % 100 < 45").groupBy("user_id", "path").agg(F.min("event_id").alias("event_id")).withColumn("status", status)
+    status = F.when(F.col("event_id") % 100 < 30, "present").when(F.col("event_id") % 100 < 40, "deleted").when(F.col("event_id") % 100 < 45, "renamed")
+    seen = e.groupBy("user_id", "path").agg(F.min("event_id").alias("event_id")).withColumn("status", status)
     return M.file_availability(e, seen, ["user_id"], "path", "status")
 
 
@@ -90,8 +90,8 @@ QUERIES = {
     "nested_file_rows": (nested_file_rows, f"""WITH {_FILES} SELECT printf('%s::file::%06d', CAST(l_orderkey AS VARCHAR), row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, path, language, additions) - 1) AS file_key, CAST(l_orderkey AS VARCHAR) AS pull_request_key, path, language, additions, deletions FROM f"""),
     "touched_lines": (touched_lines, """WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 5 < 2 THEN '+3d' ELSE '+7d' END AS label, unnest(range(event_id % 300, event_id % 300 + event_id % 7 + 1)) AS line FROM events),
         z AS (SELECT DISTINCT user_id, line FROM e WHERE event_id % 2 = 0), c AS (SELECT DISTINCT user_id, label, line FROM e WHERE event_id % 2 = 1) SELECT user_id, label, count(*) AS touched_lines FROM z JOIN c USING (user_id, line) GROUP BY ALL"""),
-    "file_availability": (file_availability, """WITH e AS (SELECT user_id, CAST(event_id % 50 AS VARCHAR) AS path, event_id FROM events), s AS (SELECT user_id, path, min(event_id) % 100 AS m FROM e WHERE event_id % 100 < 45 GROUP BY ALL),
-        j AS (SELECT w.user_id, CASE WHEN m < 30 THEN 'present' WHEN m < 40 THEN 'deleted' WHEN m IS NOT NULL THEN 'renamed' ELSE 'unknown' END AS st FROM (SELECT DISTINCT user_id, path FROM e) w LEFT JOIN s USING (user_id, path)),
+    "file_availability": (file_availability, """WITH e AS (SELECT user_id, CAST(event_id % 50 AS VARCHAR) AS path, event_id FROM events), s AS (SELECT user_id, path, min(event_id) % 100 AS m FROM e GROUP BY ALL),
+        j AS (SELECT w.user_id, CASE WHEN m < 30 THEN 'present' WHEN m < 40 THEN 'deleted' WHEN m < 45 THEN 'renamed' ELSE 'unknown' END AS st FROM (SELECT DISTINCT user_id, path FROM e) w LEFT JOIN s USING (user_id, path)),
         c AS (SELECT user_id, count(*) AS expected, count(*) FILTER (st = 'present') AS present, count(*) FILTER (st = 'deleted') AS deleted, count(*) FILTER (st = 'renamed') AS renamed, count(*) FILTER (st = 'unknown') AS unknown FROM j GROUP BY ALL)
         SELECT *, CASE WHEN present = expected THEN 'complete' WHEN present = 0 THEN 'all_missing' ELSE 'partial' END AS availability FROM c"""),
     "retention_summary": (retention_summary, """WITH s AS (SELECT event_type, CASE WHEN event_id % 9 = 0 THEN 'u' WHEN event_id % 4 <> 0 AND event_id % 3 <> 0 THEN 'r' WHEN event_id % 4 <> 0 THEN 'w' ELSE 'n' END AS s FROM events)

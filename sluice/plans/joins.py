@@ -10,8 +10,15 @@ from ..sources.tables import read_table
 
 
 def dedup_first_row(spark, d):
+    """The first row of each key by order and line; of equal ones the first in the file."""
+    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.stable_pr_key(F.col("l_partkey") % 100, F.when(F.col("l_suppkey") % 10 != 3, F.col("l_suppkey") % 10)).alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return R.first_rows(li, ["key"], ["l_orderkey", "l_linenumber", "file", "at"]).drop("file", "at")
+
+
+def dedup_first_row_of_ties(spark, d):
+    """The same with a total order, so that ties have one result in any engine."""
     li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.stable_pr_key(F.col("l_partkey") % 100, F.when(F.col("l_suppkey") % 10 != 3, F.col("l_suppkey") % 10)).alias("key"))
-    return R.first_rows(li, ["key"], ["l_orderkey", "l_linenumber"])
+    return R.first_rows(li, ["key"], ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 def latest_per_key(spark, d):
@@ -75,15 +82,16 @@ def interval_overlap(spark, d):
 
 
 def before_after_delta(spark, d):
-    e = read_table(spark, d, "events").where("event_id % 3 <> 2").groupBy("user_id", F.when(F.col("event_id") % 3 == 0, "before").otherwise("after").alias("label")).agg(F.max("event_id").alias("v"))
+    label = F.when(F.col("event_id") % 3 == 0, "before").when(F.col("event_id") % 3 == 1, "after").otherwise("other")
+    e = read_table(spark, d, "events").groupBy("user_id", label.alias("label")).agg(F.max("event_id").alias("v"))
     return R.before_after(e, ["user_id"], "label", "before", "after", "v")
 
 
 def nearest_replacement(spark, d):
-    p = read_table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.floor("p_retailprice").alias("lines"))
-    t = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("target"), "p_brand", F.col("p_size").alias("t_size"), F.col("lines").alias("t_lines"))
-    out = R.nearest(t, p.where("p_partkey % 50 <> 0"), ["p_brand"], [F.abs(F.col("p_size") - F.col("t_size")), F.abs(F.col("lines") - F.col("t_lines")), F.col("lines"), F.col("p_partkey")], "target")
-    return out.select("target", "p_partkey", "p_size", "lines")
+    """For every part whose price has 85 cents or more a part of its brand that has fewer: by size, price, and key."""
+    p = read_table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.floor("p_retailprice").alias("lines"), (F.col("p_retailprice") - F.floor("p_retailprice") >= 0.85).alias("failed"))
+    t = p.where("failed").withColumnRenamed("p_partkey", "target")
+    return R.nearest_in_buckets(t, p.where("not failed"), ["p_brand"], "p_size", "lines", "target", "p_partkey")
 
 
 def multiset_difference(spark, d):
@@ -112,6 +120,8 @@ _ISLANDS = f"""{_RANGES}, f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION
 QUERIES = {
     "dedup_first_row": (dedup_first_row, """WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_partkey % 100) || '#' || CASE WHEN l_suppkey % 10 <> 3 THEN l_suppkey % 10 END AS key FROM lineitem),
         r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY l_orderkey, l_linenumber) AS rn FROM k) SELECT l_orderkey, l_linenumber, l_partkey, key FROM r WHERE key IS NULL OR rn = 1"""),
+    "dedup_first_row_of_ties": (dedup_first_row_of_ties, """WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_partkey % 100) || '#' || CASE WHEN l_suppkey % 10 <> 3 THEN l_suppkey % 10 END AS key FROM lineitem),
+        r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY l_orderkey, l_linenumber, l_partkey) AS rn FROM k) SELECT l_orderkey, l_linenumber, l_partkey, key FROM r WHERE key IS NULL OR rn = 1"""),
     "latest_per_key": (latest_per_key, "SELECT user_id, ts, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"),
     "fallback_join": (fallback_join, f"WITH {_LEVELS} SELECT o_orderkey, coalesce(ids.domain, keys.domain) AS domain FROM o LEFT JOIN ids USING (o_custkey) LEFT JOIN keys ON o.repo = keys.repo"),
     "union_join": (union_join, f"WITH {_LEVELS} SELECT o_orderkey, domain FROM o JOIN ids USING (o_custkey) UNION SELECT o_orderkey, domain FROM o JOIN keys USING (repo)"),
@@ -124,8 +134,9 @@ QUERIES = {
     "interval_overlap": (interval_overlap, f"WITH {_RANGES} SELECT a.user_id, count(*) AS pairs, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s) + 1) AS BIGINT) AS lines FROM r a JOIN r b ON a.user_id = b.user_id AND a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND a.s <= b.e AND b.s <= a.e GROUP BY a.user_id"),
     "before_after_delta": (before_after_delta, """SELECT user_id, max(event_id) FILTER (event_id % 3 = 0) AS before, max(event_id) FILTER (event_id % 3 = 1) AS after, max(event_id) FILTER (event_id % 3 = 1) - max(event_id) FILTER (event_id % 3 = 0) AS delta
         FROM events GROUP BY user_id HAVING count(*) FILTER (event_id % 3 = 0) > 0 AND count(*) FILTER (event_id % 3 = 1) > 0"""),
-    "nearest_replacement": (nearest_replacement, """WITH p AS (SELECT p_partkey, p_brand, p_size, CAST(floor(p_retailprice) AS BIGINT) AS lines FROM part), j AS (SELECT t.p_partkey AS target, p.*, row_number() OVER (PARTITION BY t.p_partkey ORDER BY abs(p.p_size - t.p_size), abs(p.lines - t.lines), p.lines, p.p_partkey) AS rn
-        FROM p t JOIN p ON t.p_brand = p.p_brand AND t.p_partkey % 50 = 0 AND p.p_partkey % 50 <> 0) SELECT target, p_partkey, p_size, lines FROM j WHERE rn = 1"""),
+    "nearest_replacement": (nearest_replacement, """WITH p AS (SELECT p_partkey, p_brand, p_size, CAST(floor(p_retailprice) AS BIGINT) AS lines, p_retailprice - floor(p_retailprice) >= 0.85 AS failed FROM part),
+        j AS (SELECT t.p_partkey AS target, p.p_partkey, p.p_size, p.lines, row_number() OVER (PARTITION BY t.p_partkey ORDER BY abs(p.p_size - t.p_size), abs(p.lines - t.lines), p.lines, p.p_partkey) AS rn
+        FROM p t JOIN p ON t.p_brand = p.p_brand AND t.failed AND NOT p.failed) SELECT target, p_partkey, p_size, lines FROM j WHERE rn = 1"""),
     "multiset_difference": (multiset_difference, "SELECT l_returnflag, l_partkey % 20 AS part, CAST(sum(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS n FROM lineitem GROUP BY ALL HAVING sum(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END) > 0"),
     "dominant_language": (dominant_language, "WITH g AS (SELECT l_orderkey, l_returnflag, sum(l_quantity) AS loc, count(*) AS files FROM lineitem GROUP BY ALL) SELECT l_orderkey, l_returnflag, loc, files FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY loc DESC, files DESC, l_returnflag) AS rn FROM g) WHERE rn = 1"),
     "domain_rollup": (domain_rollup, "WITH e AS (SELECT vec_id, label, round(CAST(embedding[1] AS DOUBLE), 6) AS score FROM embeddings) SELECT label, count(*) AS topic_count, max(score) AS score_max, (SELECT vec_id FROM e f WHERE f.label = e.label ORDER BY score DESC, vec_id LIMIT 1) AS top_topic FROM e GROUP BY label"),
