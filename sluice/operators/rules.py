@@ -90,19 +90,20 @@ def normalize_rules(rows: DataFrame, choices: DataFrame, topics: DataFrame) -> D
     """Former rules (rule_file, row; its first text is a number) in the catalog's words: adds body, action and reason. body is
     null where the row is malformed, or an output is neither a topic, nor an alias of one, nor a directive."""
     clean = F.filter(F.transform(F.slice("row", 2, 1 << 20), lambda x: F.trim(x)), lambda x: x != "")
-    r = rows.withColumn("__id", F.monotonically_increasing_id()).withColumn("__b", clean)
+    r = rows.withColumn("__b", clean)
+    key = ["rule_file", "row"]
     first_out = F.col("rule_file").isin(*_BY_OUTPUT, "abbr")
     outs = F.when(first_out, F.slice("__b", 1, 1)).otherwise(F.slice("__b", 2, 1 << 20))
     word = F.lower(unquoted("o"))
-    long = r.select("__id", F.posexplode(outs).alias("pos", "o")).select("__id", "pos", word.alias("w0"), catalog_slug("o").alias("w1"), compact(catalog_slug("o")).alias("w2"))
+    long = r.distinct().select(*key, F.posexplode(outs).alias("pos", "o")).select(*key, "pos", word.alias("w0"), catalog_slug("o").alias("w1"), compact(catalog_slug("o")).alias("w2"))
     names, alias = topics.select(F.col("topic").alias("k"), F.col("topic").alias("v")), choices.select(F.col("term").alias("k"), F.col("canonical").alias("v"))
     found = []
     for i, (dim, by) in enumerate([(names, "w0"), (names, "w1"), (alias, "w0"), (alias, "w1"), (alias, "w2")]):
         long = dim_join(long, dim.withColumnRenamed("k", by).withColumnRenamed("v", f"f{i}"), by)
         found.append(f"f{i}")
     hit = F.coalesce(F.when(F.col("w0").isin(DELETE, KEEP), F.col("w0")), *found)
-    got = long.groupBy("__id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", hit.alias("h")))), lambda x: x["h"]).alias("__o"))
-    j = r.join(got, "__id", "left")
+    got = long.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", hit.alias("h")))), lambda x: x["h"]).alias("__o"))
+    j = r.join(got, key, "left")
     head = F.try_element_at("__o", F.lit(1))
     sources = F.filter(F.transform(F.when(first_out, F.slice("__b", 2, 1 << 20)).otherwise(F.slice("__b", 1, 1)), lambda x: F.lower(unquoted(x))), lambda x: x != "")
     lost = F.exists("__o", lambda x: x.isNull()) | (first_out & head.isin(DELETE, KEEP))

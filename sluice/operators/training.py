@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..functions import times as D
 from ..functions import text as T
 from ..sources import writers
+from ..sources.tables import shared_folder
 from . import relational as R
 from . import sampling as B
 from .entities import reject_reason
@@ -32,7 +33,10 @@ def create_training_data(df: DataFrame, mapped, text, token_limit: int, min_topi
     topics = base.select(F.explode("__m").alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_topic)
     tokens = base.select(F.explode("__t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_token)
     universe = sorted(r.topic for r in topics.select("topic").collect())  # the labels; their number is that of a model's outputs
-    rows = base.withColumn("__id", F.monotonically_increasing_id())
+    # written once, so that both uses of the rows see the same numbers
+    path = shared_folder(df.sparkSession, "training-rows")
+    base.withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
     kept = rows.select("__id", F.posexplode("__t").alias("pos", "token")).join(tokens.select("token"), "token", "left_semi")
     first = kept.groupBy("__id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), 1, token_limit).alias("__k"))
     rows = rows.join(first, "__id", "left").withColumn("__text", F.array_join(F.coalesce("__k", F.array().cast("array<string>")), " "))
@@ -84,11 +88,9 @@ def collect_repositories(found: DataFrame, key: str, target: int, known: DataFra
     found it, up to target in order of their first find; those known from an earlier run count and stay."""
     search = F.struct("bucket", "query", "page")
     rows = found.groupBy(key).agg(F.min(search).alias("first"), F.array_sort(F.collect_set(search)).alias("searches"), F.min_by("metadata", search).alias("metadata"))
-    rank = F.row_number().over(W.orderBy("first", key))
     if known is None:
-        return rows.withColumn("__r", rank).where(F.col("__r") <= target).drop("__r", "first")
-    room = max(0, target - known.count())
-    fresh = rows.join(known.select(key), key, "left_anti").withColumn("__r", rank).where(F.col("__r") <= room).drop("__r", "first")
+        return rows.orderBy("first", key).limit(target).drop("first")
+    fresh = rows.join(known.select(key), key, "left_anti").orderBy("first", key).limit(max(0, target - known.count())).drop("first")
     return known.unionByName(fresh, allowMissingColumns=True)
 
 
