@@ -63,12 +63,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As materialize(), dealt into buckets by `key` and sorted by it: joins by `key` read it without a shuffle."""
+def materialize_by(df: DataFrame, name: str, key: str, dealt: bool = False) -> DataFrame:
+    """As materialize(), dealt into buckets by `key` and sorted by it: joins by `key` read it without a shuffle.
+
+    dealt: the partitions of df are by `key` already.
+    """
     spark = df.sparkSession
     n, path = shuffle_partitions(spark), scratch_path(spark, name)
     table = "sluice_" + path.rpartition("/sluice-")[2].replace("-", "_")
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 

@@ -2,8 +2,9 @@
 
 The index is a Parquet table bucketed and sorted by digest. A batch is reduced to one row per digest (pre-aggregated, so
 that a text with millions of copies is one row a task), anti-joined with the index by a sort-merge join, and the digests
-that are new are appended. Decisions join back by digest; a digest that holds a third of all rows is split by the
-engine's skew join, as nothing is gathered by group.
+that are new are appended. Decisions join back by digest. The digests of more rows than 1 in HOT_SHARE (HOT_ROWS at least) are
+HOT_SHARE at most at any size of the corpus; their decisions are broadcast, and their rows stay where they are. All other
+rows meet their decisions in a sort-merge join, where no digest has more rows than that.
 
 Defined results: a null text equals the empty text. A null doc_id sorts after every other. Rows that repeat a doc_id are
 the same document: all of them carry the same decision, and `dedup` leaves one. An empty table gives an empty result.
@@ -17,10 +18,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path, shuffle_partitions
+from .common import materialize, materialize_by, scratch_path, shuffle_partitions
 
 #: Runs of white space that differ from one space; the others need no replacement.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
+#: A digest of more rows than HOT_ROWS and than the HOT_SHARE-th part of all rows is hot: HOT_SHARE of 100 bytes at most.
+HOT_ROWS = 1_000
+HOT_SHARE = 10_000
 
 
 def text_digest(text: Column) -> Column:
@@ -62,7 +66,7 @@ def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.unhex(text_digest(F.col(text_col))).alias("digest"), F.xxhash64(text_col).alias("raw"))
 
 
-def decide(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
+def decide(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, raw (a hash of the row's own text).
 
     The rows are taken in in `batches` ranges of doc_id, lowest first, so that the smallest doc_id of equal texts is the
@@ -70,7 +74,7 @@ def decide(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc
     """
     index = index or DigestIndex(docs.sparkSession)
     rows = materialize(_digests(docs, id_col, text_col), "digest-rows")
-    lo, hi = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    lo, hi, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     if lo is None or batches < 2 or not isinstance(lo, int):
         index.ingest(rows)
     else:
@@ -83,8 +87,10 @@ def decide(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc
                 part = part & (F.col("doc_id") < b)
             index.ingest(rows.where(F.coalesce(part, F.lit(b is None))))
     sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-    groups = index.table().join(sizes.hint("merge"), "digest")
-    return rows.join(groups.hint("merge"), "digest").select(
+    groups = materialize_by(index.table().join(sizes.hint("merge"), "digest"), "digest-groups", "digest", dealt=True)
+    hot = F.broadcast(groups.where(F.col("group_size") > max(hot_rows, n // HOT_SHARE)))
+    rest = rows.join(hot, "digest", "left_anti").join(groups.hint("merge"), "digest")
+    return rows.join(hot, "digest").unionByName(rest).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "raw"
     )
 

@@ -63,6 +63,10 @@ def test_exact_dedup(spark, docs):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == sorted(min((i or 0) for i in g) for g in groups.values())
     assert exact_dedup.decide(docs.limit(0)).count() == 0
+    hot = exact_dedup.decide(docs, hot_rows=1)
+    assert sorted(map(repr, hot.collect())) == sorted(map(repr, rows))
+    plan = hot._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "BroadcastHashJoin" in plan
 
 
 def test_digest_index_takes_in_batches(spark, docs):
