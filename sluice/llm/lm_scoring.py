@@ -1,7 +1,9 @@
 """Masked pseudo-likelihood scores from a bidirectional window network trained in numpy.
 
 Tokens are words hashed to BUCKETS numbers. Each has one of CLASSES classes: the most frequent numbers have one of their
-own, the others share the rest by hash. A token's conditional probability is
+own. The others share the rest by use: each number sums random signs of its neighbours over the whole corpus, SIGNS of the
+one before and SIGNS of the one after, and the numbers are halved again and again by equal shares of the tokens, across the
+main axis of their means. A token's conditional probability is
     p(token | both sides) = p(class | two tokens before, two after) * p(token | class).
 The first factor is a network: the sum of one embedding a place, tanh, a softmax over the classes; the token itself is
 masked. The second comes from the counts of all tokens of the corpus (add-one). A document's score is the sum of the
@@ -10,7 +12,7 @@ conditional log-probabilities of every token, and its mean.
 Counts are gathered from every token of every document. The network is trained by parameter averaging: each task trains
 a copy of the same first weights on every token of all its documents, in order, and the copies are averaged
 by their numbers of tokens; both gather more as the corpus grows, while the driver gets a fixed size: BUCKETS
-counts and the averaged weights. Sums are over integers (weights in fixed point), so their order changes nothing.
+rows of a count and 2 * SIGNS sums (18 MB), and the averaged weights. Sums are over integers (weights in fixed point), so their order changes nothing.
 
 Defined results: a null text, or one without words, has n_tokens 0, logp 0 and a null mean. Equal texts have equal
 scores. Rows that repeat count each time. An empty table gives an empty result. An added column whose name is
@@ -26,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, added_fields, map_arrow, slices, text_buffer, words_of
+from .common import MULT, added_fields, map_arrow, mix64, slices, text_buffer, words_of
 
 BUCKETS = 1 << 17
 CLASSES = 256
 OWN = 128
+SIGNS = 8
+#: A number's mean is drawn to the corpus mean as if that had been seen so often.
+PRIOR = 4
 HIDDEN = 24
 PLACES = (-2, -1, 1, 2)
 BATCH = 256
@@ -46,11 +51,31 @@ class Vocabulary:
     class_logp: np.ndarray  # log share of each class
 
 
-def vocabulary(counts: np.ndarray) -> Vocabulary:
+def halved(x: np.ndarray, weight: np.ndarray, parts: int) -> np.ndarray:
+    """Labels 0 to parts - 1 (a power of two) of the rows of x: halves of equal weight across the main axis, again and again."""
+    label = np.zeros(len(x), np.int64)
+    if parts < 2 or not len(x):
+        return label
+    off = x - np.average(x, axis=0, weights=weight)
+    axis = np.linalg.eigh((off * weight[:, None]).T @ off)[1][:, -1]
+    axis *= np.sign(axis[np.argmax(np.abs(axis))])
+    order = np.argsort(off @ axis, kind="stable")
+    total = np.cumsum(weight[order])
+    cut = int(np.searchsorted(total, total[-1] / 2)) + 1
+    for k, at in enumerate((order[:cut], order[cut:])):
+        at = np.sort(at)
+        label[at] = k * parts // 2 + halved(x[at], weight[at], parts // 2)
+    return label
+
+
+def vocabulary(counts: np.ndarray, near: np.ndarray) -> Vocabulary:
+    """near: of each bucket the sums of its neighbours' signs."""
     top = np.lexsort((np.arange(BUCKETS), -counts))[:OWN]
-    rest = (np.arange(BUCKETS, dtype=np.uint64) * MULT[3] >> np.uint64(40)) % np.uint64(CLASSES - OWN)
-    cls = (OWN + rest.astype(np.int64)).astype(np.int16)
+    rest = np.setdiff1d(np.arange(BUCKETS), top)
+    mean = near.sum(0) / max(int(counts.sum()), 1)
+    cls = np.empty(BUCKETS, np.int16)
     cls[top] = np.arange(OWN)
+    cls[rest] = OWN + halved((near[rest] + PRIOR * mean) / (counts[rest, None] + PRIOR), counts[rest] + 1.0, CLASSES - OWN)
     c = counts + 1.0
     per = np.bincount(cls, c, CLASSES)
     return Vocabulary(cls, np.log(c / per[cls]).astype(np.float32), np.log(per / per.sum()).astype(np.float32))
@@ -150,28 +175,45 @@ def buckets_of(buf, offs, lo, hi) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - 17)).astype(np.int64), first
 
 
-def count_buckets(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Counts of all tokens of all documents."""
+def signs_of() -> np.ndarray:
+    """SIGNS random signs of each bucket, a row a sign."""
+    h = mix64(np.arange(BUCKETS, dtype=np.uint64) * MULT[3] + MULT[4])
+    return np.stack([1.0 - 2.0 * (h >> np.uint64(k) & np.uint64(1)) for k in range(SIGNS)])
+
+
+def count_buckets(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all tokens of all documents, and the sums of the signs of those before (SIGNS columns) and after them."""
+    names = ["n", *[f"s{k}" for k in range(2 * SIGNS)]]
 
     def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        signs = signs_of()
+        total = np.zeros((1 + 2 * SIGNS, BUCKETS), np.int64)
         for b in batches:
             buf, offs, _ = text_buffer(b.column(0))
             for lo, hi in slices(offs):
-                total += np.bincount(buckets_of(buf, offs, lo, hi)[0], minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
-
-    rows = map_arrow(docs.select(text_col), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = rows.toPandas()  # BUCKETS rows at most
-    out = np.zeros(BUCKETS, np.int64)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return out
+                at, first = buckets_of(buf, offs, lo, hi)
+                total[0] += np.bincount(at, minlength=BUCKETS)
+                # pairs of neighbours; none crosses the end of a text
+                same = np.ones(max(len(at) - 1, 0), bool)
+                ends = first[1:-1]
+                same[ends[(ends > 0) & (ends < len(at))] - 1] = False
+                one, two = at[:-1][same], at[1:][same]
+                for k in range(SIGNS):
+                    total[1 + k] += np.bincount(two, signs[k][one], BUCKETS).astype(np.int64)
+                    total[1 + SIGNS + k] += np.bincount(one, signs[k][two], BUCKETS).astype(np.int64)
+        at = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *[pa.array(t[at]) for t in total]], names=["bucket", *names])
+
+    rows = map_arrow(docs.select(text_col), run, "bucket long, " + ", ".join(f"{c} long" for c in names)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
+    got = rows.toArrow()  # BUCKETS rows at most
+    out = np.zeros((BUCKETS, 1 + 2 * SIGNS), np.int64)
+    out[got["bucket"].to_numpy()] = np.stack([got[c].to_numpy() for c in names], 1)
+    return out[:, 0], out[:, 1:]
 
 
 def train(docs: DataFrame, text_col: str = "text", stride: int = 1) -> tuple[Vocabulary, Network]:
     sc = docs.sparkSession.sparkContext
-    vocab = vocabulary(count_buckets(docs, text_col))
+    vocab = vocabulary(*count_buckets(docs, text_col))
     shared = sc.broadcast(vocab)
 
     def run(batches):

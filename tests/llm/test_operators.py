@@ -340,6 +340,31 @@ def test_training_order_fails_if_a_row_is_lost_between_the_passes(spark, docs, t
 # ------------------------------------------------------------------ 5
 
 
+def test_lm_classes_by_use(spark, docs):
+    counts, near = lm_scoring.count_buckets(docs)
+    signs, want, n = lm_scoring.signs_of(), defaultdict(lambda: np.zeros(2 * lm_scoring.SIGNS)), defaultdict(int)
+    for _, t, *_ in ROWS:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        at = lm_scoring.buckets_of(data, np.array([0, len(data)]), 0, 1)[0].tolist() if words else []
+        for k, x in enumerate(at):
+            n[x] += 1
+            if k:
+                want[x][: lm_scoring.SIGNS] += signs[:, at[k - 1]]
+            if k + 1 < len(at):
+                want[x][lm_scoring.SIGNS :] += signs[:, at[k + 1]]
+    assert {int(k): int(counts[k]) for k in np.flatnonzero(counts)} == dict(n)
+    assert all((near[k] == want[k]).all() for k in n) and not near[counts == 0].any()
+    # two uses far apart fall into different halves; the halves weigh the same
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 0.1, (400, 4)) + np.where(np.arange(400) % 2, 3, -3)[:, None]
+    label = lm_scoring.halved(x, np.ones(400), 4)
+    assert set(label[::2].tolist()) in ({0, 1}, {2, 3}) and not set(label[::2].tolist()) & set(label[1::2].tolist())
+    assert np.bincount(label).tolist() == [100] * 4
+    assert lm_scoring.halved(np.zeros((0, 4)), np.zeros(0), 4).tolist() == []
+    assert set(lm_scoring.vocabulary(counts * 0, near * 0).class_of.tolist()) == set(range(lm_scoring.CLASSES))
+
+
 def test_lm_scores_are_sums_of_conditional_log_probabilities(spark, docs):
     vocab, net = lm_scoring.train(docs, stride=1)
     rows = {r.doc_id: r for r in lm_scoring.score(docs, vocab, net, keep=["doc_id"]).collect()}
