@@ -495,7 +495,7 @@ def test_added_names_that_are_taken(spark):
     names = ["copy", "copies", "rate", "shuffle_key", "ids", "score", "lang_pred", "n_tokens", "LOGP", "n_bytes", "counts", "feature", "node", "component", "key", "row"]
     docs = spark.createDataFrame([(i, f"some words of text {i}", "en", "s", *[f"{n}{i}" for n in names]) for i in range(4)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
     model = language_id.train(docs)
-    nothing = lm_scoring.vocabulary(np.zeros(lm_scoring.BUCKETS))
+    nothing = lm_scoring.vocabulary(np.zeros(lm_scoring.BUCKETS), np.zeros((lm_scoring.BUCKETS, 2 * lm_scoring.SIGNS)))
     keep = docs.columns
     outs = {
         "shuffle_key_": mixing.mix(docs), "lang_pred_": language_id.identify(docs, model, keep=keep), "n_tokens_": lm_scoring.score(docs, nothing, lm_scoring.Network.first(nothing.class_logp), keep),
