@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, lm_scoring, media, mixing, ngram_jaccard, piece_lattice, token_counts, token_output, url_filters
+from . import exact_dedup, language_id, lexical, lm_scoring, media, mixing, ngram_jaccard, piece_lattice, token_counts, token_output, url_filters
 from .common import materialize
 
 
@@ -70,6 +70,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_columns(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -111,5 +115,24 @@ SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u
 """
 
 
+_LEXICAL_SQL = r"""
+WITH q AS (SELECT DISTINCT item_id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+d AS (SELECT r, doc_id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+sizes AS (SELECT r, count(*) AS n FROM d GROUP BY r),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, term),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term) JOIN sizes USING (r), whole GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": _URL_SQL, "op1_source_mixing": _MIX_SQL, "op9_exact_dedup": _DEDUP_SQL}
+    return {"op11_lexical_search": _LEXICAL_SQL, "op8_url_filters": _URL_SQL, "op1_source_mixing": _MIX_SQL, "op9_exact_dedup": _DEDUP_SQL}
