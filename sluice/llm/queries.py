@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, lexical, lm_scoring, media, mixing, ngram_jaccard, piece_lattice, token_counts, token_output, url_filters
+from . import erasure, exact_dedup, language_id, lexical, lm_scoring, media, mixing, ngram_jaccard, piece_lattice, token_counts, token_output, url_filters
 from .common import materialize
 
 
@@ -74,6 +74,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return erasure.erase(erasure.shop_sources(*[_table(spark, sf_dir, t) for t in ("clients", "clicks", "sales", "sale_lines")]))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -9,9 +9,11 @@ import pytest
 
 from sluice.llm import queries, tokens
 
+from . import test_erasure as shop
 from .test_operators import ROWS, brute_components
 
 URLS = ["http://www.Example.com/en/71?x", "https://example.com", "ftp://a.com/en/", "https://x.example.net/de/8/9", "http://q.org/es/#f", None, "no scheme", "http://EXAMPLE.ORG/en"]
+SHOP = shop.make(50)
 
 
 @pytest.fixture(scope="module")
@@ -21,11 +23,13 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(URLS)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{root}/pages.parquet")
     items = [(0, "hello world"), (1, "one extra tail7 tail59"), (2, None), (3, "日本 and é")]
     spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{root}/benchmark.parquet")
+    for t, rows, schema in zip(("clients", "clicks", "sales", "sale_lines"), SHOP, (shop.CLIENTS, shop.CLICKS, shop.SALES, shop.LINES)):
+        spark.createDataFrame(rows, schema).coalesce(2).write.parquet(f"{root}/{t}.parquet")
     return root
 
 
 def test_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == [*range(1, 12)]
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == [*range(1, 13)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -82,3 +86,7 @@ def test_piece_and_score_queries(spark, folder):
     assert len(rows) == len(ROWS) and all(r.restored or r.ids_sha256 is None for r in rows)
     scored = {r.doc_id: r for r in queries.op5_lm_scoring(spark, folder).collect()}
     assert scored[4].n_tokens == 0 and scored[4].mean_logp is None and all(r.logp < 0 for r in scored.values() if r.n_tokens)
+
+
+def test_erasure_query(spark, folder):
+    assert shop.seen(queries.op12_erasure(spark, folder).collect()) == shop.brute(SHOP, 100)
