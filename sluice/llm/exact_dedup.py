@@ -13,6 +13,8 @@ Columns other than doc_id and text are carried and may have any name.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, materialize_by, scratch_path, shuffle_partitions
 
+#: The file in an index's folder that names its buckets and columns; Spark's readers pass over it.
+NOTE = "_digest_index.json"
+
 #: Runs of white space that differ from one space; the others need no replacement.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 #: A digest of more rows than HOT_ROWS and than the HOT_SHARE-th part of all rows is hot: HOT_SHARE of 100 bytes at most.
@@ -33,31 +38,77 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A table (digest, keep_id) bucketed and sorted by digest, to which batches are appended."""
+    """A table (digest, keep_id) bucketed and sorted by digest, to which batches are appended.
+
+    It lives in the folder `path`: the bucketed files and a note of the buckets and columns. Another application that opens
+    the folder registers a table over the files that are there; nothing is ever written over them. An append that fails leaves
+    the index as it was, and a batch that is taken in again appends nothing and gets the decisions of its first time.
+    """
 
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.name = name or f"sluice_digests_{uuid.uuid4().hex[:12]}"
-        self.path = path or scratch_path(spark, "digests")
+        self.path = (path or scratch_path(spark, "digests")).rstrip("/")
+        self.name = name or f"sluice_digests_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}"
         self.buckets = buckets or shuffle_partitions(spark)
+        if self.exists():
+            self.buckets = self._register()
 
-    def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+    def _folder(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _note(self):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{NOTE}")
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        return self._folder()[0].exists(self._note())
+
+    def _register(self) -> int:
+        """Make the folder a table of the session's catalog, if it isn't one; its number of buckets."""
+        fs, path = self._folder()
+        stream = fs.open(self._note())
+        try:
+            note = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        if not self.spark.catalog.tableExists(self.name):
+            self.spark.sql(
+                f"CREATE TABLE `{self.name}` ({note['columns']}) USING parquet OPTIONS (path '{self.path}') "
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {note['buckets']} BUCKETS"
+            )
+        held = self.spark.sql(f"DESCRIBE FORMATTED `{self.name}`").where("col_name = 'Location'").first()["data_type"]
+        if self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(held).toUri().getPath() != path.toUri().getPath():
+            raise ValueError(f"the table {self.name} lies in {held}, not in {self.path}")
+        return note["buckets"]
+
+    def _create(self, columns: str) -> None:
+        """Note buckets and columns in a folder that has no other files."""
+        fs, path = self._folder()
+        if fs.exists(path) and len(fs.listStatus(path)):
+            raise ValueError(f"{self.path} holds files, but no index")
+        fs.mkdirs(path)
+        draft = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_draft-{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "columns": columns}).encode()))
+        out.close()
+        fs.rename(draft, self._note())
+        self._register()
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
 
     def ingest(self, digests: DataFrame) -> None:
-        """Append the digests of a batch (doc_id, digest) that the index lacks. A repeated batch appends nothing."""
+        """Append the digests of a batch (doc_id, digest) that the index lacks."""
         fresh = digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
-        if self.exists():
-            fresh = fresh.hint("merge").join(self.table().select("digest"), "digest", "left_anti")
+        if not self.exists():
+            self._create(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema))
+        fresh = fresh.hint("merge").join(self.table().select("digest"), "digest", "left_anti")
         (
             fresh.repartition(self.buckets, "digest")
             .write.bucketBy(self.buckets, "digest")
             .sortBy("digest")
             .mode("append")
-            .option("path", self.path)
+            .format("parquet")
             .saveAsTable(self.name)
         )
 

@@ -4,11 +4,12 @@ Decoding is written out here for Netpbm (P1 to P6; two-byte samples are scaled t
 with palette, 24 and 32 bits); BMP of 16 bits or with RLE is not read. resize() averages over exact areas by an integral image, so every sample of the source counts by the share of it
 that a target sample covers. The difference hash compares neighbours of a 9 x 8 thumbnail.
 
-For texts: the UTF-8 bytes, with bytes 0 appended up to a positive multiple of 64, are the samples of a grey Netpbm (P5)
-image of width 64; what is read back from the stored bytes gives every digest.
+For texts: the UTF-8 bytes, with bytes 0 appended up to a positive multiple of 64, are the samples of a grey image of width
+64. An image of up to NETPBM_ROWS rows is stored as Netpbm (P5), a taller one as BMP. The images and their NPY tiles are
+written as binary columns of a Parquet table, and every digest is of what is read back from there.
 
 Defined results: a null text is the empty one (64 bytes 0). Equal texts get equal values. An image that can't be
-decoded raises ValueError; decode_column gives null for it. An added column whose name is taken
+decoded raises ValueError (whatever its bytes are); decode_column and write_tiles give null for it. An added column whose name is taken
 has an underscore put after it.
 """
 
@@ -55,8 +56,13 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
     if not 0 < top < 65536:
         raise ValueError("bad Netpbm maximum")
     depth = 3 if kind in (b"P3", b"P6") else 1
+    if not w or not h or w * h * depth > 8 * len(raw):  # the densest format has 8 samples a byte
+        raise ValueError("no samples, or fewer than the header says")
     if kind in (b"P2", b"P3"):
-        flat = np.array(raw[at:].split()[: w * h * depth], np.uint16)
+        words = raw[at:].split()[: w * h * depth]
+        if not all(x.isdigit() and len(x) < 10 for x in words):
+            raise ValueError("bad sample")
+        flat = np.array(words, np.int64)
     elif kind == b"P1":
         flat = 1 - np.array([c - 48 for c in raw[at:] if c in b"01"][: w * h], np.uint16)
     elif kind == b"P4":
@@ -71,6 +77,8 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
         raise ValueError("no Netpbm image")
     if flat.size != w * h * depth:
         raise ValueError("short image")
+    if flat.size and int(flat.max()) > top:
+        raise ValueError("a sample is over the maximum")
     if top != 255:
         flat = (flat.astype(np.uint32) * 255 + top // 2) // top
     return flat.astype(np.uint8, copy=False).reshape((h, w, 3) if depth == 3 else (h, w))
@@ -110,6 +118,8 @@ def decode_bmp(raw: bytes) -> np.ndarray:
         rows = rows[:, :w]
     if depth <= 8:
         colours = num(46, 4) or 1 << depth
+        if colours > 256 or len(raw) < 14 + size + 4 * colours:
+            raise ValueError("bad palette")
         table = np.zeros((256, 4), np.uint8)
         table[:colours] = np.frombuffer(raw, np.uint8, colours * 4, 14 + size).reshape(-1, 4)
         out = table[rows][:, :, 2::-1]
@@ -177,7 +187,7 @@ def decode_column(df: DataFrame, image_col: str, keep: list[str], height: int =
     def features(raw):
         try:
             a = decode(raw)
-        except (ValueError, TypeError):
+        except (ValueError, TypeError, ArithmeticError):
             return None, None, None, None, None
         return a.shape[0], a.shape[1], 1 if a.ndim == 2 else 3, difference_hash(a), npy_tile(a, height, width)
 
@@ -229,7 +239,7 @@ def write_tiles(df: DataFrame, image_col: str, id_col: str, path: str | None = N
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
                     kept.append(resize(decode(raw.as_py()), height, width))
-                except (ValueError, TypeError):
+                except (ValueError, TypeError, ArithmeticError):
                     kept.append(None)
                 ids.append(key)
                 if len(ids) == TILES:
@@ -240,43 +250,66 @@ def write_tiles(df: DataFrame, image_col: str, id_col: str, path: str | None = N
     return materialize(map_arrow(held, run, held.select("id").schema.add("file", "string").add("place", "integer")), "tile-manifest"), path
 
 
+#: Rows of the tallest text image that is stored as Netpbm.
+NETPBM_ROWS = 64
+
+
 def text_media(raw: bytes) -> bytes:
-    """The P5 image whose samples are raw and the bytes 0 that make it a positive multiple of WIDTH."""
+    """The image whose samples are raw and the bytes 0 that make it a positive multiple of WIDTH."""
     padded = raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH))
-    return encode_netpbm(np.frombuffer(padded, np.uint8).reshape(-1, WIDTH))
+    image = np.frombuffer(padded, np.uint8).reshape(-1, WIDTH)
+    return encode_netpbm(image) if len(image) <= NETPBM_ROWS else encode_bmp(image)
 
 
+STORED = "n_bytes long, media binary, tile binary"
 TEXT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def media_digest(raw: bytes) -> tuple:
-    media = text_media(raw)
-    image = decode(media)
-    payload = image.tobytes()
-    tile = hashlib.sha256(npy_tile(image)).hexdigest()[:16]
-    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(image)}:{tile}"
-
-
-def text_columns(docs: DataFrame, keep: list[str], text_col: str = "text", with_media: bool = False) -> DataFrame:
-    """The columns of `keep` with the digests of each text's image (TEXT), and with_media the image and its tile."""
+def store_texts(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns of `keep` with each text's length, image and NPY tile (STORED), written as a table and read from it."""
     held = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
-    extra = ", media binary, tile binary" if with_media else ""
-    schema = added_fields(TEXT + extra, held.drop("__text").schema)
+    schema = added_fields(STORED, held.drop("__text").schema)
 
     def run(batches):
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()][: 9 if with_media else 7]
+        kinds = (pa.int64(), pa.binary(), pa.binary())
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 buf, offs, _ = text_buffer(b.column(b.num_columns - 1))
                 rows = []
                 for i, j in zip(offs[:-1].tolist(), offs[1:].tolist()):
-                    raw = buf[i:j].tobytes()
-                    row = media_digest(raw)
-                    if with_media:
-                        media = text_media(raw)
-                        row += (media, npy_tile(decode(media)))
-                    rows.append(row)
+                    media = text_media(buf[i:j].tobytes())
+                    rows.append((j - i, media, npy_tile(decode(media))))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names=schema.names)
 
+    return materialize(map_arrow(held, run, schema), "text-media")
+
+
+def media_digest(media: bytes, tile: bytes) -> tuple:
+    """The digests of a stored image and of its stored tile."""
+    image = decode(media)
+    payload = image.tobytes()
+    small = np.load(io.BytesIO(tile), allow_pickle=False)
+    seen = f"{difference_hash(image)}:{hashlib.sha256(small.tobytes()).hexdigest()[:16]}"
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), seen
+
+
+def text_columns(docs: DataFrame, keep: list[str], text_col: str = "text", with_media: bool = False) -> DataFrame:
+    """The columns of `keep` with the digests of each text's stored image and tile (TEXT), and with_media these themselves."""
+    stored = store_texts(docs, keep, text_col)
+    own = stored.columns[: len(keep)]
+    n_bytes, media, tile = stored.columns[len(keep) :]
+    held = stored.select(*own, n_bytes, media, tile)
+    schema = added_fields(TEXT + (", media binary, tile binary" if with_media else ""), held.select(*own).schema)
+
+    def run(batches):
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                first = b.num_columns - 3
+                rows = [media_digest(m.as_py(), t.as_py()) for m, t in zip(b.column(first + 1), b.column(first + 2))]
+                columns = [*b.columns[: first + 1], *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]]
+                yield pa.RecordBatch.from_arrays(columns + b.columns[first + 1 :] * with_media, names=schema.names)
+
     return map_arrow(held, run, schema)

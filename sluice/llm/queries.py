@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import erasure, exact_dedup, language_id, lexical, lm_scoring, media, mixing, ngram_jaccard, piece_lattice, token_counts, token_output, url_filters
+from . import chat, erasure, exact_dedup, language_id, lexical, lm_scoring, media, mixing, ngram_jaccard, piece_lattice, token_counts, token_output, url_filters
 from .common import materialize
 
 
@@ -78,6 +78,14 @@ def op12_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return erasure.erase(erasure.shop_sources(*[_table(spark, sf_dir, t) for t in ("clients", "clicks", "sales", "sale_lines")]))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows are written, and the digests are of what is read back from them."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, k, role, r"\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    windows = chat.format_conversations(rows.unionByName(planted))
+    return chat.digests(materialize(windows, "chat-windows"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -138,5 +146,32 @@ WHERE rank <= 50
 """
 
 
+#: A turn's cost, its start by a running sum, the grid, and the length of each window's members.
+_CHAT_SQL = r"""
+WITH r AS (
+  SELECT conv_id, coalesce(turn, -9223372036854775808) AS ord, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+c AS (SELECT *, 4 + (strlen(text) + 3) // 4 AS cost,
+    14 + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g')) + length(replace(replace(text, '\', '\b'), '<', '\l')) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY ord, role <> 'system', role, text) AS k FROM r),
+s AS (SELECT conv_id, cost AS held, chars AS system_chars FROM c WHERE k = 1 AND role = 'system' AND cost <= 512),
+p AS (SELECT c.*, coalesce(held, 0) AS held, k = 1 AND held IS NOT NULL AS system,
+    CAST(sum(cost) OVER (PARTITION BY c.conv_id ORDER BY k) AS BIGINT) - cost AS begun FROM c LEFT JOIN s ON c.conv_id IS NOT DISTINCT FROM s.conv_id),
+q AS (SELECT *, 768 - held AS room, CASE WHEN system THEN 0 ELSE begun - held END AS start, CASE WHEN system THEN 0 ELSE begun - held + cost END AS stop FROM p),
+g AS (SELECT *, 2 * (start // room) + CASE WHEN system OR (stop - 1) // room = start // room THEN 0 ELSE 1 END AS code FROM q),
+w AS (SELECT conv_id, code, min(start) AS first, bool_or(system) AS own FROM g GROUP BY conv_id, code),
+extra AS (
+  SELECT w.conv_id, sum(g.chars) AS chars FROM w JOIN g ON w.conv_id IS NOT DISTINCT FROM g.conv_id AND NOT g.system AND g.code < w.code AND g.start >= w.first - 256
+  GROUP BY w.conv_id
+  UNION ALL
+  SELECT w.conv_id, sum(system_chars) FROM w JOIN s ON w.conv_id IS NOT DISTINCT FROM s.conv_id WHERE NOT own GROUP BY w.conv_id),
+e AS (SELECT conv_id, sum(chars) AS chars FROM extra GROUP BY conv_id),
+t AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM c GROUP BY conv_id)
+SELECT t.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(t.chars + coalesce(e.chars, 0) AS BIGINT) AS formatted_chars
+FROM t LEFT JOIN e ON t.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_lexical_search": _LEXICAL_SQL, "op8_url_filters": _URL_SQL, "op1_source_mixing": _MIX_SQL, "op9_exact_dedup": _DEDUP_SQL}
+    return {"op13_chat_format": _CHAT_SQL, "op11_lexical_search": _LEXICAL_SQL, "op8_url_filters": _URL_SQL, "op1_source_mixing": _MIX_SQL, "op9_exact_dedup": _DEDUP_SQL}

@@ -4,6 +4,8 @@ import hashlib
 import math
 import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -80,6 +82,59 @@ def test_digest_index_takes_in_batches(spark, docs):
     assert {(r.doc_id, r.keep_id) for r in exact_dedup.decide(late, index, batches=1).collect()} == {(90, 2), (91, 91)}
 
 
+APPLICATION = """
+import sys
+from pyspark.sql import SparkSession
+from sluice.llm import exact_dedup
+path, shared, rows = sys.argv[1], sys.argv[2], eval(sys.argv[3])
+spark = (
+    SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false")
+    .config("spark.checkpoint.dir", shared).config("spark.sql.warehouse.dir", shared + "/warehouse").getOrCreate()
+)
+index = exact_dedup.DigestIndex(spark, path=path)
+out = exact_dedup.decide(spark.createDataFrame(rows, "doc_id long, text string"), index)
+print("ROWS", sorted((r.doc_id, r.keep_id, r.kept) for r in out.collect()), index.table().count(), index.buckets)
+"""
+
+
+def application(tmp_path, rows):
+    env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))}
+    done = subprocess.run([sys.executable, "-c", APPLICATION, f"{tmp_path}/index", str(tmp_path), repr(rows)], env=env, capture_output=True, text=True, timeout=300)
+    found = [line for line in done.stdout.splitlines() if line.startswith("ROWS")]
+    assert found, done.stderr[-2000:]
+    return found[0]
+
+
+def test_digest_index_outlives_its_application(tmp_path):
+    assert application(tmp_path, [(1, "a"), (2, "b"), (3, "a")]) == "ROWS [(1, 1, True), (2, 2, True), (3, 1, False)] 2 3"
+    assert application(tmp_path, [(7, "a"), (8, "c")]) == "ROWS [(7, 1, False), (8, 8, True)] 3 3"
+    assert application(tmp_path, [(7, "a"), (8, "c")]) == "ROWS [(7, 1, False), (8, 8, True)] 3 3"
+
+
+def test_digest_index_keeps_to_its_folder(spark, tmp_path):
+    rows = exact_dedup._digests(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), "doc_id", "text")
+    index = exact_dedup.DigestIndex(spark, path=f"{tmp_path}/i", buckets=2)
+    index.ingest(rows)
+
+    def broken(batches):
+        raise ValueError("lost")
+        yield
+
+    with pytest.raises(Exception, match="lost"):
+        index.ingest(rows.limit(0).unionByName(rows.mapInArrow(broken, rows.schema)))
+    again = exact_dedup.DigestIndex(spark, path=f"{tmp_path}/i", buckets=9)
+    assert again.buckets == 2 and again.table().count() == 2
+    again.ingest(rows.limit(0))
+    assert again.table().count() == 2
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, name=index.name, path=f"{tmp_path}/j").ingest(rows)
+    os.makedirs(f"{tmp_path}/k")
+    open(f"{tmp_path}/k/other.txt", "w").close()
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path=f"{tmp_path}/k").ingest(rows)
+    assert os.listdir(f"{tmp_path}/k") == ["other.txt"]
+
+
 # ------------------------------------------------------------------ 1
 
 
@@ -455,7 +510,7 @@ def test_media_formats_round_trip():
         assert (media.decode(media.encode_netpbm(a)) == a).all() and (media.decode(media.encode_bmp(a)) == a).all()
     assert media.decode(b"P2 # c\n2 1\n15\n0 15\n").tolist() == [[0, 255]]
     assert media.decode(b"P1\n3 1\n1 0 1").tolist() == [[0, 255, 0]]
-    for bad in (b"", b"P5\n9 9\n255\nx", b"GIF89a", b"BM"):
+    for bad in (b"", b"P5\n9 9\n255\nx", b"GIF89a", b"BM", b"P5 0 4 255\n", b"P2 1 1 255 70000", b"P2 1 1 255 -1", b"P5 99999999999 99999999999 255 x", b"P5 1 1 9 \xff"):
         with pytest.raises(ValueError):
             media.decode(bad)
 
@@ -482,6 +537,37 @@ def test_area_resize_equals_brute_force():
     assert np.abs(media.resize(a, 8, 9).astype(float) - want).max() <= 0.5 + 1e-6
 
 
+def test_mutated_images_are_decoded_or_refused(spark):
+    rng = np.random.default_rng(5)
+    a, colour = rng.integers(0, 256, (5, 7)).astype(np.uint8), rng.integers(0, 256, (4, 3, 3)).astype(np.uint8)
+    seeds = [media.encode_netpbm(a), media.encode_bmp(a), media.encode_netpbm(colour), media.encode_bmp(colour), b"P2\n3 2\n15\n1 2 3 4 5 15", b"P1\n3 1\n1 0 1", b"P3 1 1 9 1 2 3", b"P4\n9 1\n\xff\x80"]
+    images = []
+    for k in range(10_000):
+        raw = bytearray(seeds[k % len(seeds)])
+        for _ in range(int(rng.integers(1, 5))):
+            at = int(rng.integers(0, max(1, min(len(raw), 60))))
+            kind = int(rng.integers(0, 4))
+            if kind == 0 and raw:
+                raw[at] = int(rng.integers(0, 256))
+            elif kind == 1:
+                raw[at : at + 1] = bytes(rng.choice(list(b"0123456789- #\n"), 2).tolist())
+            elif kind == 2:
+                del raw[at : at + int(rng.integers(1, 9))]
+            else:
+                raw += bytes(3)
+        images.append(bytes(raw))
+    for raw in images:
+        try:
+            out = media.decode(raw)
+        except ValueError:
+            continue
+        assert out.size and len(media.npy_tile(out)) and len(media.difference_hash(out)) == 16
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(images[:500] + [b"P5 0 4 255\n", b"P2 1 1 255 -1"])], "id long, image binary")
+    rows = media.decode_column(df, "image", ["id"]).collect()
+    assert len(rows) == 502 and {r.dhash for r in rows if r.id >= 500} == {None}
+    assert media.write_tiles(df, "image", "id")[0].where("file IS NULL AND id >= 500").count() == 2
+
+
 def test_media_column_gives_null_for_unreadable(spark):
     good = media.encode_bmp(np.arange(48, dtype=np.uint8).reshape(4, 12))
     rows = media.decode_column(spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"x")), (3, None)], "id long, image binary"), "image", ["id"]).orderBy("id").collect()

@@ -1,14 +1,17 @@
 """The registered queries on a small directory: their columns, and their rows against SQL or brute force."""
 
 import hashlib
+import struct
 import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from sluice.llm import queries, tokens
 
+from . import test_chat as chats
 from . import test_erasure as shop
 from .test_operators import ROWS, brute_components
 
@@ -23,19 +26,20 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(URLS)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{root}/pages.parquet")
     items = [(0, "hello world"), (1, "one extra tail7 tail59"), (2, None), (3, "日本 and é")]
     spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{root}/benchmark.parquet")
+    spark.createDataFrame([(*r, 1) for r in chats.rows()], chats.SCHEMA).repartition(2).write.parquet(f"{root}/conversations.parquet")
     for t, rows, schema in zip(("clients", "clicks", "sales", "sale_lines"), SHOP, (shop.CLIENTS, shop.CLICKS, shop.SALES, shop.LINES)):
         spark.createDataFrame(rows, schema).coalesce(2).write.parquet(f"{root}/{t}.parquet")
     return root
 
 
 def test_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == [*range(1, 13)]
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == [*range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
     want = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in want.description]
@@ -57,6 +61,13 @@ def test_jaccard_query(spark, folder):
     assert len(rows) == len(ROWS) and all((r.n_shingles, r.component_id) == want[r.doc_id] for r in rows)
 
 
+def area_means(a, height, width):
+    """The means of equal areas, by repeating every sample."""
+    wide = np.repeat(a, width, axis=1).reshape(a.shape[0], width, a.shape[1]).sum(2, dtype=np.int64)
+    both = np.repeat(wide, height, axis=0).reshape(height, a.shape[0], width).sum(1)
+    return np.floor(both / (a.shape[0] * a.shape[1]) + 0.5 + 1e-9).astype(np.uint8)
+
+
 def test_media_query(spark, folder):
     text = {r[0]: (r[1] or "").encode() for r in ROWS}
     rows = queries.op10_media_columns(spark, folder).collect()
@@ -65,6 +76,18 @@ def test_media_query(spark, folder):
         raw = text[r.doc_id]
         padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        height = len(padded) // 64
+        flat = np.frombuffer(padded, np.uint8).reshape(height, 64)
+        if height <= 64:
+            stored = b"P5\n64 %d\n255\n" % height + padded
+        else:  # 54 bytes of headers, 256 colours, rows from the bottom
+            body = flat[::-1].tobytes()
+            stored = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 1078 + len(body), 0, 0, 1078, 40, 64, height, 1, 8, 0, len(body), 2835, 2835, 256, 0)
+            stored += b"".join(bytes((i, i, i, 0)) for i in range(256)) + body
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        thumb, tile = area_means(flat, 8, 9), area_means(flat, 16, 16)
+        bits = "".join("01"[int(x < y)] for line in thumb.tolist() for x, y in zip(line, line[1:]))
+        assert r.feature == f"{int(bits, 2):016x}:{hashlib.sha256(tile.tobytes()).hexdigest()[:16]}"
 
 
 def test_token_queries(spark, folder):
