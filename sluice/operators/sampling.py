@@ -6,18 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def priority(seed, *parts) -> Column:
-    """SHA-256 of NUL-joined parts as hex; its order is that of the number."""
-    return F.sha2(F.concat_ws("\0", F.lit(str(seed)), *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]).cast("binary"), 256)
+from .picking import pick, priority
+from .ranks import running
 
 
 def cut_points(df: DataFrame, value: str, buckets: int) -> DataFrame:
     """Values that end a quantile without splitting equal ones; the largest value ends none. Rows (cut)."""
     counts = df.groupBy(F.greatest(F.lit(0), F.col(value)).cast("long").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    w = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    run = counts.withColumn("cum", F.sum("n").over(w)).withColumn("total", F.sum("n").over(W.partitionBy())).withColumn("top", F.max("v").over(W.partitionBy()))
-    at = run.where("v < top").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(buckets - 1)))).where(F.col("cum") >= F.col("total") * F.col("i") / F.lit(float(buckets)))
+    run = running(counts, [], [F.col("v").asc()], "n", "cum")
+    total, top = run.agg(F.max("cum"), F.max("v")).first()
+    at = run.where(F.col("v") < F.lit(top)).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(buckets - 1))))
+    at = at.where(F.col("cum") >= F.lit(total) * F.col("i") / F.lit(float(buckets)))
     return at.groupBy("i").agg(F.min("v").alias("cut")).select("cut").distinct()
 
 
@@ -72,8 +71,7 @@ def blended_weights(strata: DataFrame, dims: list[str], size: str, alpha: float)
 
 def sample_by_quota(df: DataFrame, strata: list[str], quotas: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     """Of each stratum the rows with the smallest priority, up to its quota."""
-    rank = F.row_number().over(W.partitionBy(*strata).orderBy(priority(seed, id_col), id_col))
-    return df.join(quotas.select(*strata, "quota"), strata).withColumn("rank", rank).where("rank <= quota").drop("quota")
+    return pick(df, strata, quotas, "quota", id_col, seed).where("picked").drop("picked")
 
 
 def stratified_sample(df: DataFrame, strata: list[str], target: int, id_col: str, seed: int = 42) -> DataFrame:
@@ -94,10 +92,10 @@ def bottom_k(df: DataFrame, strata: list[str], k: int, id_col: str, seed: int =
 
 def train_test_split(df: DataFrame, strata: list[str], fraction: float, id_col: str, seed: int = 42) -> DataFrame:
     """split is test for the first floor(n * fraction) rows of a stratum by priority, 1 at least and n - 1 at most."""
-    n = F.count(F.lit(1)).over(W.partitionBy(*strata))
+    n = F.col("n")
     k = F.when(n < 2, 0).otherwise(F.greatest(F.lit(1), F.least(n - 1, F.floor(n * F.lit(fraction)))))
-    rank = F.row_number().over(W.partitionBy(*strata).orderBy(priority(seed, id_col), id_col))
-    return df.withColumn("split", F.when(rank <= k, "test").otherwise("train"))
+    quotas = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n")).select(*strata, k.alias("quota"))
+    return pick(df, strata, quotas, "quota", id_col, seed).withColumn("split", F.when(F.col("picked"), "test").otherwise("train")).drop("picked")
 
 
 def quota_by_hour(df: DataFrame, ts: str, quota: int, id_col: str, seed: int = 42) -> DataFrame:

@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import running, same
+
 
 def value_ranks(df: DataFrame, family: list[str], value: str, group: str) -> DataFrame:
     """Per (family, group, value): n, ties (of the family) and the average rank in the family."""
     v = F.col(value).cast("double")
     per = df.where(v.isNotNull()).groupBy(*family, group, v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     ties = per.groupBy(*family, "v").agg(F.sum("n").alias("ties"))
-    before = F.sum("ties").over(W.partitionBy(*family).orderBy("v").rowsBetween(W.unboundedPreceding, 0)) - F.col("ties")
-    ranked = ties.withColumn("rank", before + (F.col("ties") + 1) / F.lit(2.0))
+    run = running(ties, family, [F.col("v").asc()], "ties", "__run")
+    ranked = run.select(*family, "v", "ties", (F.col("__run") - F.col("ties") + (F.col("ties") + 1) / F.lit(2.0)).alias("rank"))
     return per.join(ranked, [*family, "v"])
 
 
@@ -112,11 +114,14 @@ def benjamini_hochberg(df: DataFrame, family: list[str], p: str = "p_value", out
     """False-discovery-rate adjusted p-values within each family; null stays null."""
     clean = F.when(F.col(p).isNotNull() & ~F.isnan(p), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(p).cast("double"))))
     have, none = df.withColumn("__p", clean).where("__p is not null"), df.withColumn("__p", clean).where("__p is null")
-    m = F.count(F.lit(1)).over(W.partitionBy(*family))
-    rank = F.rank().over(W.partitionBy(*family).orderBy("__p")) + F.count(F.lit(1)).over(W.partitionBy(*family, "__p")) - 1
-    scaled = have.withColumn("__q", F.col("__p") * m / rank)
-    best = F.min("__q").over(W.partitionBy(*family).orderBy(F.desc("__p")).rangeBetween(W.unboundedPreceding, 0))
-    return scaled.withColumn(out, F.least(F.lit(1.0), best)).drop("__p", "__q").unionByName(none.withColumn(out, F.lit(None).cast("double")).drop("__p"))
+    counts = have.groupBy(*family, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    ranked = running(counts, family, [F.col("__p").asc()], "__n", "__rank")
+    sizes = counts.groupBy(*family).agg(F.sum("__n").alias("__m"))
+    scaled = ranked.join(sizes, same(ranked, sizes, family)).select(*[ranked[c] for c in ranked.columns], (F.col("__p") * F.col("__m") / F.col("__rank")).alias("__q"))
+    best = running(scaled, family, [F.col("__p").desc()], "__q", "__best", F.min)
+    met = have.join(best, same(have, best, [*family, "__p"]))
+    adjusted = met.select(*[have[c] for c in df.columns], F.least(F.lit(1.0), F.col("__best")).alias(out))
+    return adjusted.unionByName(none.withColumn(out, F.lit(None).cast("double")).drop("__p"))
 
 
 def median_interval(df: DataFrame, group: list[str], value: str, resamples: int = 500, most: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
