@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
-from .ranks import same
+from .ranks import match
 
 #: Hexadecimal digits of a level of the histogram: 4096 bins. Two levels leave a 16-millionth of a stratum to be ranked.
 DIGITS = 3
@@ -29,15 +29,14 @@ def _edge(rows: DataFrame, strata: list[str], bin_: str, need: str) -> DataFrame
 
 def _at_edge(rows: DataFrame, edges: DataFrame, strata: list[str], bin_: str) -> DataFrame:
     """The rows of the edge bins, with the need that is left."""
-    met = rows.join(edges, same(rows, edges, strata) & (rows[bin_] == edges["edge"]))
-    return met.select(*[rows[c] for c in rows.columns if c != "need"], edges["left"].alias("need"))
+    met = match(rows, edges.withColumnRenamed("edge", bin_), [*strata, bin_])
+    return met.drop("need").withColumnRenamed("left", "need")
 
 
 def thresholds(df: DataFrame, strata: list[str], quotas: DataFrame, quota: str, id_col: str, seed) -> DataFrame:
     """Per stratum whose rows exceed its quota (above 0), the hash and id of the last row that the quota covers: `last`."""
     hashed = df.select(*strata, F.col(id_col).alias("id"), priority(seed, id_col).alias("hash"))
-    own = quotas.where(F.col(quota) > 0)
-    rows = hashed.join(own, same(hashed, own, strata)).select(*[hashed[c] for c in hashed.columns], own[quota].cast("long").alias("need"))
+    rows = match(hashed, quotas.where(F.col(quota) > 0).select(*strata, F.col(quota).cast("long").alias("need")), strata)
     for level in range(2):
         rows = rows.withColumn("bin", F.substring("hash", 1 + level * DIGITS, DIGITS))
         rows = _at_edge(rows, written(_edge(rows, strata, "bin", "need"), "edges"), strata, "bin").drop("bin")
@@ -48,7 +47,7 @@ def thresholds(df: DataFrame, strata: list[str], quotas: DataFrame, quota: str,
 def pick(df: DataFrame, strata: list[str], quotas: DataFrame, quota: str, id_col: str, seed=42) -> DataFrame:
     """df with `picked`: whether the row is among the quota's smallest priorities of its stratum. id_col is unique."""
     last = written(thresholds(df, strata, quotas, quota, id_col, seed), "thresholds")
-    both = quotas.join(last, same(quotas, last, strata), "left").select(*[quotas[s] for s in strata], quotas[quota].alias("__quota"), last["last"].alias("__last"))
-    met = df.join(both, same(df, both, strata), "left")
+    both = match(quotas.select(*strata, F.col(quota).alias("__quota")), last.withColumnRenamed("last", "__last"), strata, "left")
+    met = match(df, both, strata, "left")
     inside = F.col("__last").isNull() | (F.struct(priority(seed, id_col).alias("hash"), F.col(id_col).alias("id")) <= F.col("__last"))
-    return met.select(*[df[c] for c in df.columns], (F.coalesce(F.col("__quota"), F.lit(0)) > 0).__and__(inside).alias("picked"))
+    return met.select(*df.columns, (F.coalesce(F.col("__quota"), F.lit(0)) > 0).__and__(inside).alias("picked"))

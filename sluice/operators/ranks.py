@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from ..sources.tables import written
 
 
+def match(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a joined with b's other columns by keys, where null equals null. b may come from a; its other names are new to a."""
+    names = [f"__key{i}" for i in range(len(keys))]
+    right = b.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c for c in b.columns if c not in keys])
+    return a.join(right, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)], F.lit(True)), how).drop(*names)
+
+
 def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     """Equality of the keys, where null equals null; true without keys."""
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys], F.lit(True))

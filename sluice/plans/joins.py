@@ -10,14 +10,9 @@ from ..sources.tables import read_table
 
 
 def dedup_first_row(spark, d):
-    """The first row of each key by order and line; of equal ones the first in the file."""
-    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.stable_pr_key(F.col("l_partkey") % 100, F.when(F.col("l_suppkey") % 10 != 3, F.col("l_suppkey") % 10)).alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    return R.first_rows(li, ["key"], ["l_orderkey", "l_linenumber", "file", "at"]).drop("file", "at")
-
-
-def dedup_first_row_of_ties(spark, d):
-    """The same with a total order, so that ties have one result in any engine."""
-    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.stable_pr_key(F.col("l_partkey") % 100, F.when(F.col("l_suppkey") % 10 != 3, F.col("l_suppkey") % 10)).alias("key"))
+    """The first row of each key by order, line and part, which is a total order of the rows."""
+    key = S.stable_pr_key(F.col("l_partkey") % 100, F.when(F.col("l_suppkey") % 10 != 3, F.col("l_suppkey") % 10)).alias("key")
+    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", key)
     return R.first_rows(li, ["key"], ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
@@ -119,8 +114,6 @@ _ISLANDS = f"""{_RANGES}, f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION
 
 QUERIES = {
     "dedup_first_row": (dedup_first_row, """WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_partkey % 100) || '#' || CASE WHEN l_suppkey % 10 <> 3 THEN l_suppkey % 10 END AS key FROM lineitem),
-        r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY l_orderkey, l_linenumber) AS rn FROM k) SELECT l_orderkey, l_linenumber, l_partkey, key FROM r WHERE key IS NULL OR rn = 1"""),
-    "dedup_first_row_of_ties": (dedup_first_row_of_ties, """WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_partkey % 100) || '#' || CASE WHEN l_suppkey % 10 <> 3 THEN l_suppkey % 10 END AS key FROM lineitem),
         r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY l_orderkey, l_linenumber, l_partkey) AS rn FROM k) SELECT l_orderkey, l_linenumber, l_partkey, key FROM r WHERE key IS NULL OR rn = 1"""),
     "latest_per_key": (latest_per_key, "SELECT user_id, ts, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"),
     "fallback_join": (fallback_join, f"WITH {_LEVELS} SELECT o_orderkey, coalesce(ids.domain, keys.domain) AS domain FROM o LEFT JOIN ids USING (o_custkey) LEFT JOIN keys ON o.repo = keys.repo"),
