@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import NO_REFACTORING
+from .ranks import match
 
 DIFF = "path string, side string, start int, end int"
 _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
@@ -217,37 +218,88 @@ def eslint_severity(c):
     return F.when(F.col(c) == 1, "warning").when(F.col(c) == 2, "error").otherwise("unknown")
 
 
-def comment_lines(source: str | None, language: str | None) -> tuple[int, int, int]:
-    """(code, comment, blank) lines; block comments and docstrings go on over lines."""
-    code = comment = blank = 0
-    python = (language or "").lower() == "python"
-    marks = ('"""', "'''") if python else ()
-    inside: str | None = None
-    for raw in (source or "").split("\n"):
-        t = raw.strip()
-        if not t:
-            blank += 1
-            continue
-        if inside:
-            comment += 1
-            if inside in t:
+#: What ends a line.
+_BREAK = re.compile("\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+#: Comments and literals of C-like sources; a literal ends with its line, a block comment doesn't.
+_C_TOKEN = re.compile(r"""/\*[\s\S]*?(?:\*/|\Z)|//[^\n]*|"(?:\\[^\n]?|[^"\\\n])*"?|'(?:\\[^\n]?|[^'\\\n])*'?""")
+#: The same within a line of Python, and a line that starts with a triple quote.
+_PY_TOKEN = re.compile(r"""#.*|"(?:\\.?|[^"\\])*"?|'(?:\\.?|[^'\\])*'?""")
+_PY_DOC = re.compile(r"""[rRuUbBfF]{0,2}(\"{3}|'{3})""")
+#: Marks of a comment and of a literal in a line whose tokens are taken out.
+_COMMENT, _LITERAL = "\x01", "\x02"
+_MARKS = str.maketrans({_COMMENT: "x", _LITERAL: "x"})
+
+
+def _mark(m: re.Match) -> str:
+    token = m[0]
+    if token[0] == "#" or token[0] == "/":
+        return "\n".join(_COMMENT if part.strip() else "" for part in token.split("\n"))
+    return _LITERAL
+
+
+def _marked_python(lines: list[str]) -> list[str]:
+    out, inside = [], None
+    for line in lines:
+        marks = ""
+        if inside and line.strip():
+            before, closed, rest = line.partition(inside)
+            marks, line = _COMMENT, rest if closed else ""
+            if closed:
                 inside = None
-            continue
-        start = next((m for m in marks if t.startswith(m)), None) if python else ("*/" if t.startswith("/*") else None)
-        if start:
-            comment += 1
-            rest = t[3:] if python else t[2:]
-            inside = None if start in rest else start
-        elif t.startswith("#" if python else "//"):
+        doc = None if inside else _PY_DOC.match(line.strip())
+        if doc:
+            if line.count(doc[1]) < 2:
+                inside = doc[1]
+            marks, line = _COMMENT, ""
+        out.append(marks + _PY_TOKEN.sub(_mark, line))
+    return out
+
+
+def scanned_lines(source: str | None, language: str | None) -> tuple[list[str], int, int]:
+    """(lines with code, lines with comments alone, blank lines) of a source. Code is what stands outside of comments and
+    literals, so a line that holds literals alone is in none of the three. Block comments and docstrings go on over lines."""
+    text = _BREAK.sub("\n", source or "")
+    lines = text.removesuffix("\n").split("\n") if text else []
+    text = text.translate(_MARKS)
+    marked = _marked_python(text.split("\n")) if (language or "").lower() == "python" else _C_TOKEN.sub(_mark, text).split("\n")
+    code, comment, blank = [], 0, 0
+    for line, seen in zip(lines, marked):
+        if seen.replace(_COMMENT, "").replace(_LITERAL, "").strip():
+            code.append(line)
+        elif _COMMENT in seen:
             comment += 1
-        else:
-            code += 1
+        elif _LITERAL not in seen:
+            blank += 1
     return code, comment, blank
 
 
+def comment_lines(source: str | None, language: str | None) -> tuple[int, int, int]:
+    """(code, comment, blank) lines of a source."""
+    code, comment, blank = scanned_lines(source, language)
+    return len(code), comment, blank
+
+
 def source_lines(df: DataFrame, keep: list[str], source: str, language: str) -> DataFrame:
     @F.pandas_udf("struct<code:int,comment:int,blank:int>")
     def scan(s: pd.Series, lang: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([comment_lines(a, b) for a, b in zip(s, lang)], columns=["code", "comment", "blank"])
 
     return df.select(*keep, scan(source, language).alias("__s")).select(*keep, "__s.*")
+
+
+def code_duplication(df: DataFrame, key: str, source: str, language: str) -> DataFrame:
+    """Per key (a snapshot of sources): files, non-comment lines of code, repeated ones (occurrences beyond the first) and
+    their percentage. A line's spaces are made equal, names and literals are not. Lines are counted by (key, line) first, so
+    a hot key is summed from its partial counts."""
+
+    @F.pandas_udf("array<string>")
+    def code(s: pd.Series, lang: pd.Series) -> pd.Series:
+        return pd.Series([[" ".join(x.split()) for x in scanned_lines(a, b)[0]] for a, b in zip(s, lang)], dtype=object)
+
+    lines = df.select(key, F.explode_outer(code(source, language)).alias("line"))
+    per = lines.where("line IS NOT NULL").groupBy(key, "line").agg(F.count(F.lit(1)).alias("c"))
+    sums = per.groupBy(key).agg(F.sum("c").alias("ncloc"), F.sum(F.col("c") - 1).alias("duplicated"))
+    files = df.groupBy(key).agg(F.count(F.lit(1)).alias("files"))
+    out = match(files, sums, [key], "left").fillna(0, ["ncloc", "duplicated"])
+    density = F.when(F.col("ncloc") > 0, F.col("duplicated") * F.lit(100.0) / F.col("ncloc")).otherwise(F.lit(0.0))
+    return out.select(key, "files", "ncloc", "duplicated", density.alias("density"))

@@ -1,5 +1,5 @@
 """Query plans over the registered tables."""
 
-from . import activity, curation, domain, joins, normalize, reports, samplers, statistics, streams
+from . import activity, curation, domain, joins, normalize, reports, samplers, sources, statistics, streams
 
-MODULES = [activity, joins, statistics, normalize, domain, curation, streams, reports, samplers]
+MODULES = [activity, joins, statistics, normalize, domain, curation, streams, reports, samplers, sources]
