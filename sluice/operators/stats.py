@@ -4,14 +4,14 @@ group is gathered; p-values need a few rows only."""
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranks import running, same
+from .ranks import match, running, same
 
 
 def value_ranks(df: DataFrame, family: list[str], value: str, group: str) -> DataFrame:
@@ -24,8 +24,9 @@ def value_ranks(df: DataFrame, family: list[str], value: str, group: str) -> Dat
     return per.join(ranked, [*family, "v"])
 
 
-def mann_whitney(df: DataFrame, family: list[str], value: str, group: str, first: str, second: str) -> DataFrame:
-    """U of the first group, Cliff's delta, the tie-corrected normal z with continuity correction, and both sizes."""
+def mann_whitney(df: DataFrame, family: list[str], value: str, group: str, first: str, second: str, ties: bool = False) -> DataFrame:
+    """U of the first group, Cliff's delta, the tie-corrected normal z with continuity correction, and both sizes; with ties,
+    also whether any value is tied."""
     r = value_ranks(df.where(F.col(group).isin(first, second)), family, value, group)
     one = F.col(group) == first
     out = r.groupBy(*family).agg(
@@ -39,7 +40,8 @@ def mann_whitney(df: DataFrame, family: list[str], value: str, group: str, first
     n = n1 + n2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie") / (n * (n - 1))))
     z = (F.abs(F.col("u") - n1 * n2 / 2) - F.lit(0.5)) / F.nullif(sd, F.lit(0.0))
-    return out.select(*family, "n1", "n2", "u", (F.col("u") * 2 / (n1 * n2) - 1).alias("delta"), z.alias("z"))
+    tied = [(F.col("tie") > 0).alias("tied")] if ties else []
+    return out.select(*family, "n1", "n2", "u", (F.col("u") * 2 / (n1 * n2) - 1).alias("delta"), z.alias("z"), *tied)
 
 
 def normal_p(df: DataFrame, z: str = "z", out: str = "p_value") -> DataFrame:
@@ -124,45 +126,90 @@ def benjamini_hochberg(df: DataFrame, family: list[str], p: str = "p_value", out
     return adjusted.unionByName(none.withColumn(out, F.lit(None).cast("double")).drop("__p"))
 
 
-def median_interval(df: DataFrame, group: list[str], value: str, resamples: int = 500, most: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Median with a percentile bootstrap interval. A group's resampling uses at most `most` of its values, those with the
-    smallest hash; the median is that of all."""
-    v = F.col(value).cast("double")
-    rows = df.where(v.isNotNull()).select(*group, v.alias("v"), F.xxhash64(F.lit(seed), *df.columns).alias("h"))
-    exact = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.percentile("v", F.lit(0.5)).alias("median"))
-    some = rows.withColumn("r", F.row_number().over(W.partitionBy(*group).orderBy("h", "v"))).where(F.col("r") <= most)
-    lists = some.groupBy(*group).agg(F.array_sort(F.collect_list("v")).alias("vs"))
-
-    @F.pandas_udf("struct<ci_low:double,ci_high:double>")
-    def interval(s: pd.Series) -> pd.DataFrame:
-        out = []
-        for vs in s:
-            rng = np.random.default_rng(seed)
-            m = np.median(rng.choice(np.asarray(vs), (resamples, len(vs))), axis=1)
-            out.append(np.quantile(m, [(1 - level) / 2, (1 + level) / 2]))
-        return pd.DataFrame(out, columns=["ci_low", "ci_high"])
-
-    ci = lists.select(*group, interval("vs").alias("ci")).select(*group, "ci.ci_low", "ci.ci_high")
-    return exact.join(ci, group)
-
-
-def delta_interval(df: DataFrame, family: list[str], value: str, group: str, first: str, second: str, resamples: int = 300, most: int = 500, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """A percentile bootstrap interval of Cliff's delta on at most `most` values of each group."""
+def _z(level: float) -> float:
+    return NormalDist().inv_cdf((1 + level) / 2)
+
+
+def median_interval(df: DataFrame, group: list[str], value: str, level: float = 0.95) -> DataFrame:
+    """n, the median of each group and the interval between two of its order statistics that holds the population's median
+    with the given probability at least about: ranks (n -/+ z sqrt(n)) / 2, outwards. All values count, by distinct value."""
     v = F.col(value).cast("double")
-    rows = df.where(v.isNotNull() & F.col(group).isin(first, second)).select(*family, F.col(group).alias("g"), v.alias("v"), F.xxhash64(F.lit(seed), *df.columns).alias("h"))
-    some = rows.withColumn("r", F.row_number().over(W.partitionBy(*family, "g").orderBy("h", "v"))).where(F.col("r") <= most)
-    side = [F.array_sort(F.collect_list(F.when(F.col("g") == x, F.col("v")))).alias(n) for x, n in ((first, "a"), (second, "b"))]
-    lists = some.groupBy(*family).agg(*side).where("size(a) > 0 and size(b) > 0")
-
-    @F.pandas_udf("struct<ci_low:double,ci_high:double>")
-    def interval(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, y in zip(a, b):
-            rng, d = np.random.default_rng(seed), []
-            for _ in range(resamples):
-                p, q = rng.choice(np.asarray(x), len(x)), np.sort(rng.choice(np.asarray(y), len(y)))
-                d.append((np.searchsorted(q, p, "left").sum() - (len(q) - np.searchsorted(q, p, "right")).sum()) / (len(p) * len(q)))
-            out.append(np.quantile(d, [(1 - level) / 2, (1 + level) / 2]))
-        return pd.DataFrame(out, columns=["ci_low", "ci_high"])
-
-    return lists.select(*family, interval("a", "b").alias("ci")).select(*family, "ci.ci_low", "ci.ci_high")
+    counts = df.where(v.isNotNull()).groupBy(*group, v.alias("v")).agg(F.count(F.lit(1)).alias("m"))
+    run = running(counts, group, [F.col("v").asc()], "m", "cum")
+    sizes = run.groupBy(*group).agg(F.max("cum").alias("n"))
+    ranked, n = match(run, sizes, group), F.col("n")
+    reach = F.lit(_z(level)) * F.sqrt(n.cast("double"))
+    ranks = {"low": F.floor((n + 1) / F.lit(2)), "high": F.floor(n / F.lit(2)) + 1}
+    ranks |= {"ci_low": F.greatest(F.lit(1), F.floor((n - reach) / 2)), "ci_high": F.least(n, F.ceil((n + reach) / 2) + 1)}
+    out = ranked.groupBy(*group, "n").agg(*[F.min(F.when(F.col("cum") >= k, F.col("v"))).alias(name) for name, k in ranks.items()])
+    return out.select(*group, "n", ((F.col("low") + F.col("high")) / 2).alias("median"), "ci_low", "ci_high")
+
+
+def delta_interval(df: DataFrame, family: list[str], value: str, group: str, first: str, second: str, level: float = 0.95) -> DataFrame:
+    """Cliff's delta of each family with its interval, by the unbiased variance over all pairs and the asymmetric limits. A
+    value's pairs are counted from running sums by distinct value, so that no pairs are made; both groups have two rows at
+    least."""
+    some = df.where(F.col(group).isin(first, second))
+    own = value_ranks(some, family, value, group)
+    own = running(own.withColumnRenamed("rank", "pooled"), [*family, group], [F.col("v").asc()], "n", "cum")
+    # rows of the other group below the value, and equal to it
+    own = own.withColumn("below", F.col("pooled") - (F.col("ties") + 1) / F.lit(2.0) - (F.col("cum") - F.col("n"))).withColumn("equal", F.col("ties") - F.col("n"))
+    one = F.col(group) == first
+    sizes = own.groupBy(*family).agg(F.sum(F.when(one, F.col("n"))).cast("double").alias("n1"), F.sum(F.when(~one, F.col("n"))).cast("double").alias("n2"))
+    rows = match(own, sizes.where("n1 >= 2 AND n2 >= 2"), family)
+    other = F.when(one, F.col("n2")).otherwise(F.col("n1"))
+    rows = rows.withColumn("d", (F.col("below") * 2 + F.col("equal") - other) / other)
+    n, d = F.col("n"), F.col("d")
+    sums = rows.groupBy(*family, "n1", "n2").agg(
+        F.sum(F.when(one, n * d)).alias("s1"), F.sum(F.when(one, n * d * d)).alias("q1"), F.sum(F.when(~one, n * d)).alias("s2"), F.sum(F.when(~one, n * d * d)).alias("q2"),
+        F.sum(F.when(one, n * F.col("equal"))).alias("even"),
+    )
+    n1, n2 = F.col("n1"), F.col("n2")
+    sums = sums.withColumn("delta", F.col("s1") / n1)
+    delta = F.col("delta")
+    # sums of squares about delta: of rows of either group (the second's mean is -delta), and of all pairs (-1, 0 or 1)
+    rows_1, rows_2 = F.col("q1") - n1 * delta * delta, F.col("q2") - n2 * delta * delta
+    pairs = n1 * n2 - F.col("even") - n1 * n2 * delta * delta
+    variance = (n2 * n2 * rows_1 + n1 * n1 * rows_2 - pairs) / (n1 * n2 * (n1 - 1) * (n2 - 1))
+    sums = sums.withColumn("var", F.greatest(variance, (F.lit(1.0) - delta * delta) / (n1 * n2 - 1)))
+    z = _z(level)
+    reach = F.lit(z) * F.sqrt("var") * F.sqrt(F.pow(F.lit(1.0) - delta * delta, F.lit(2.0)) + F.lit(z * z) * F.col("var"))
+    base, centre = F.lit(1.0) - delta * delta + F.lit(z * z) * F.col("var"), delta - delta * delta * delta
+    least = F.least(n1, n2)
+    edge = (least - F.lit(z * z)) / (least + F.lit(z * z))  # groups that don't overlap
+    low = F.when(delta >= 1, edge).when(delta <= -1, F.lit(-1.0)).otherwise((centre - reach) / base)
+    high = F.when(delta <= -1, -edge).when(delta >= 1, F.lit(1.0)).otherwise((centre + reach) / base)
+    return sums.select(*family, "delta", F.greatest(F.lit(-1.0), low).alias("ci_low"), F.least(F.lit(1.0), high).alias("ci_high"))
+
+
+#: A sample this small, without ties, gets its p-value from the exact distribution of U.
+EXACT = 8
+
+
+def u_tail(n1: int, n2: int, u: float) -> float:
+    """The share of all orders of n1 and n2 distinct values whose U is u or more. The numbers of orders by U are the
+    coefficients of the Gaussian binomial; a factor (1 - x^(n + i)) / (1 - x^i) at a time is exact in whole numbers."""
+    k, n = min(n1, n2), max(n1, n2)
+    ways = [1] + [0] * (k * n)
+    for i in range(1, k + 1):
+        for at in range(k * n, n + i - 1, -1):
+            ways[at] -= ways[at - n - i]
+        for at in range(i, k * n + 1):
+            ways[at] += ways[at - i]
+    return sum(ways[math.ceil(u) :]) / math.comb(n1 + n2, k)
+
+
+def mann_whitney_p(df: DataFrame, out: str = "p_value") -> DataFrame:
+    """Two-sided p-values of mann_whitney(..., ties=True): exact where a group has EXACT rows at most, the other 2000 at most
+    (beyond which the counts are long and the normal form is close), and no value is tied; else normal."""
+
+    @F.pandas_udf("double")
+    def p(n1: pd.Series, n2: pd.Series, u: pd.Series, tied: pd.Series, z: pd.Series) -> pd.Series:
+        def one(a, b, x, t, s):
+            if not t and min(a, b) <= EXACT and max(a, b) <= 2000:
+                return min(1.0, 2 * u_tail(int(a), int(b), max(x, a * b - x)))
+            return 1.0 if pd.isna(s) else min(1.0, math.erfc(max(s, 0.0) / math.sqrt(2)))
+
+        return pd.Series([one(*row) for row in zip(n1, n2, u, tied, z)], dtype="float64")
+
+    return df.withColumn(out, p("n1", "n2", "u", "tied", "z"))

@@ -40,11 +40,20 @@ def bh_adjust(spark, d):
 
 
 def median_ci(spark, d):
+    """The median of each cohort and its interval by order statistics."""
     return Q.median_interval(_two(spark, d), ["o_orderpriority"], "v")
 
 
 def delta_ci(spark, d):
-    return Q.delta_interval(_two(spark, d), ["o_orderpriority"], "v", "g", "agent", "human")
+    """Cliff's delta of each cohort and its interval."""
+    out = Q.delta_interval(_two(spark, d), ["o_orderpriority"], "v", "g", "agent", "human")
+    return out.select("o_orderpriority", *[F.round(c, 8).alias(c) for c in ("delta", "ci_low", "ci_high")])
+
+
+def small_sample_p(spark, d):
+    """Exact p-values where a customer has few orders of either kind, none of them tied."""
+    o = read_table(spark, d, "orders").select("o_custkey", F.when(F.col("o_orderstatus") == "F", "agent").otherwise("human").alias("g"), "o_totalprice")
+    return Q.mann_whitney_p(Q.mann_whitney(o, ["o_custkey"], "o_totalprice", "g", "agent", "human", ties=True)).select("o_custkey", "n1", "n2", "u", "tied", F.round("p_value", 9).alias("p_value"))
 
 
 def comparison_panel(spark, d):
@@ -107,6 +116,7 @@ def _mwu(fam):
     u AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0::DOUBLE AS u, CAST(n1 AS DOUBLE) * n2 AS m FROM s)"""
 
 
+_Z = 1.9599639845400536  # of a probability of 0.95
 _SIZES = "s AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY ALL), x AS (SELECT *, n * 37.0::DOUBLE / sum(n) OVER () AS e FROM s)"
 _CUTS = """c AS (SELECT c_custkey, greatest(0, CAST(floor(c_acctbal / 500) AS BIGINT)) AS v FROM customer), n AS (SELECT v, count(*) AS n FROM c GROUP BY v), r AS (SELECT v, sum(n) OVER (ORDER BY v) AS cum, sum(n) OVER () AS total, max(v) OVER () AS top FROM n),
  cuts AS (SELECT DISTINCT min(v) AS cut FROM r, (VALUES (1), (2), (3)) i(i) WHERE v < top AND cum >= total * i / 4.0::DOUBLE GROUP BY i)"""
@@ -123,8 +133,16 @@ QUERIES = {
         s AS (SELECT sum((o - e) * (o - e) / e) AS chi2, count(DISTINCT a) - 1 AS r, count(DISTINCT b) - 1 AS c, any_value(n) AS n FROM e) SELECT round(chi2, 4) AS chi2, r * c AS dof, CAST(n AS BIGINT) AS n, round(sqrt(chi2 / (n * least(r, c))), 9) AS cramers_v FROM s"""),
     "bh_adjust": (bh_adjust, """WITH p AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 17 <> 0 THEN (o_totalprice % 1000) / 1000.0::DOUBLE END AS p FROM orders), r AS (SELECT *, count(p) OVER (PARTITION BY o_orderpriority) AS m, row_number() OVER (PARTITION BY o_orderpriority ORDER BY p, o_orderkey) AS k FROM p WHERE p IS NOT NULL)
         SELECT o_orderkey, o_orderpriority, p AS p_value, round(least(1.0::DOUBLE, min(p * m / k) OVER (PARTITION BY o_orderpriority ORDER BY k DESC)), 9) AS p_adjusted FROM r UNION ALL SELECT o_orderkey, o_orderpriority, NULL, NULL FROM p WHERE p IS NULL"""),
-    "median_ci": (median_ci, None),
-    "delta_ci": (delta_ci, None),
+    "median_ci": (median_ci, f"""WITH {_V}, r AS (SELECT f, CAST(v AS DOUBLE) AS v, row_number() OVER (PARTITION BY f ORDER BY v) AS k, count(*) OVER (PARTITION BY f) AS n FROM v WHERE v IS NOT NULL)
+        SELECT f AS o_orderpriority, n, median(v) AS median, min(v) FILTER (k >= greatest(1, floor((n - {_Z}::DOUBLE * sqrt(n)) / 2))) AS ci_low,
+          min(v) FILTER (k >= least(n, ceil((n + {_Z}::DOUBLE * sqrt(n)) / 2) + 1)) AS ci_high FROM r GROUP BY f, n"""),
+    "delta_ci": (delta_ci, f"""WITH {_V}, c AS (SELECT f, v, count(*) FILTER (g = 'agent') AS a, count(*) FILTER (g = 'human') AS b FROM v WHERE v IS NOT NULL GROUP BY f, v),
+        s AS (SELECT *, CAST(sum(a) OVER w AS DOUBLE) AS ca, CAST(sum(b) OVER w AS DOUBLE) AS cb, CAST(sum(a) OVER (PARTITION BY f) AS DOUBLE) AS n1, CAST(sum(b) OVER (PARTITION BY f) AS DOUBLE) AS n2 FROM c WINDOW w AS (PARTITION BY f ORDER BY v)),
+        d AS (SELECT *, (2 * (cb - b) + b - n2) / n2 AS d1, (2 * (ca - a) + a - n1) / n1 AS d2 FROM s), e AS (SELECT f, n1, n2, sum(a * d1) / n1 AS delta, sum(a * d1 * d1) AS q1, sum(b * d2 * d2) AS q2, sum(CAST(a AS DOUBLE) * b) AS even FROM d GROUP BY f, n1, n2),
+        g AS (SELECT *, greatest((n2 * n2 * (q1 - n1 * delta * delta) + n1 * n1 * (q2 - n2 * delta * delta) - (n1 * n2 - even - n1 * n2 * delta * delta)) / (n1 * n2 * (n1 - 1) * (n2 - 1)), (1 - delta * delta) / (n1 * n2 - 1)) AS var, {_Z}::DOUBLE AS z FROM e),
+        h AS (SELECT f, delta, z * sqrt(var) * sqrt(pow(1 - delta * delta, 2) + z * z * var) AS reach, 1 - delta * delta + z * z * var AS base, delta - delta * delta * delta AS mid FROM g)
+        SELECT f AS o_orderpriority, round(delta, 8) AS delta, round(greatest(-1, (mid - reach) / base), 8) AS ci_low, round(least(1, (mid + reach) / base), 8) AS ci_high FROM h"""),
+    "small_sample_p": (small_sample_p, None),
     "comparison_panel": (comparison_panel, None),
     "cut_points": (cut_points, f"WITH {_CUTS} SELECT cut FROM cuts"),
     "assigned_buckets": (assigned_buckets, f"WITH {_CUTS} SELECT c_custkey, 'pop' || (SELECT count(*) FROM cuts WHERE cut < c.v) AS bucket FROM c"),

@@ -24,8 +24,19 @@ def dedup_stream(df: DataFrame, key: list[str], ts: str | None = None, delay: st
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key) if ts else df.dropDuplicates(key)
 
 
-def windowed_counts(df: DataFrame, ts: str, by: list[str], window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    return df.withWatermark(ts, delay).groupBy(F.window(ts, window), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *by, "n")
+def windowed_counts(df: DataFrame, ts: str, by: list[str], window: str = "1 hour", delay: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Rows by window (overlapping ones with a slide) and keys. A row whose window the watermark has passed is dropped, and a
+    window is complete, and leaves the state, once the watermark has passed it."""
+    span = F.window(ts, window, slide) if slide else F.window(ts, window)
+    return df.withWatermark(ts, delay).groupBy(span, *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *by, "n")
+
+
+def session_counts(df: DataFrame, ts: str, by: list[str], key: list[str], gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+    """Sessions by keys: rows that follow each other within the gap. Rows that repeat a key within the delay count once, rows
+    that are later than the delay are dropped."""
+    fresh = df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
+    out = fresh.groupBy(F.session_window(ts, gap).alias("session"), *by).agg(F.count(F.lit(1)).alias("n"))
+    return out.select(F.col("session.start").alias("start"), F.col("session.end").alias("end"), *by, "n")
 
 
 def append_new(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
