@@ -1,5 +1,5 @@
 """Query plans over the registered tables."""
 
-from . import activity, curation, domain, joins, normalize, reports, samplers, sources, statistics, streams, topics
+from . import activity, curation, domain, joins, normalize, reports, retention, samplers, sources, statistics, streams, topics
 
-MODULES = [activity, joins, statistics, normalize, domain, curation, streams, reports, samplers, sources, topics]
+MODULES = [activity, joins, statistics, normalize, domain, curation, streams, reports, retention, samplers, sources, topics]
