@@ -18,7 +18,7 @@ path: block wins. A null page_id is carried. An empty table, or no rules, gives
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from operator import neg
 
 import pyarrow as pa
@@ -107,14 +107,19 @@ def _sweep(n_keep: int):
 
 
 def _bucketed(df: DataFrame, cuts: list[tuple[str, str]], high: bool) -> DataFrame:
-    """With bucket, the number of cuts at or below (key, path); high: also last, that of the end of the key's interval."""
+    """With bucket, the number of cuts at or below (key, path); high: also last, that of the end of the key's interval.
+
+    A pair that is several cuts is hot (one url that is repeated, or all urls without a host): its rows are dealt over the
+    buckets between these cuts in turn. An interval begins before all cuts that equal its start, so that it reaches them."""
 
     def run(batches):
         for b in batches:
             keys, paths = b.column(0).to_pylist(), b.column(1).to_pylist()
-            cols = [pa.array([bisect_right(cuts, (k, p)) for k, p in zip(keys, paths)], pa.int32())]
-            if high:
-                cols = [pa.array([bisect_right(cuts, (k, "")) for k in keys], pa.int32())]
+            if not high:
+                ends = [(bisect_left(cuts, x), bisect_right(cuts, x)) for x in zip(keys, paths)]
+                cols = [pa.array([last if last - first < 2 else first + 1 + i % (last - first) for i, (first, last) in enumerate(ends)], pa.int32())]
+            else:
+                cols = [pa.array([bisect_left(cuts, (k, "")) for k in keys], pa.int32())]
                 # the interval ends before the key with its last dot made the next character
                 cols.append(pa.array([bisect_right(cuts, (k[:-1] + "/", "")) if k else len(cuts) for k in keys], pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "bucket", "last"][: b.num_columns + len(cols)])
@@ -140,12 +145,12 @@ def judge(pages: DataFrame, rules: DataFrame, keep: list[str], url_col: str = "u
     order = F.xxhash64("__key", "__path", *own)
     sample = held.select("__key", "__path", order.alias("h")).orderBy("h", "__key", "__path").limit(SAMPLE * n).collect()
     sample = sorted((r[0], r[1]) for r in sample)
-    cuts = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
+    cuts = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
     marks = rules.select(host_key(lower_ascii(F.col("host"))).alias("__key"), F.col("path").alias("__path"), F.concat("host", "path").alias("rule"), F.col("verdict"))
     marks = _bucketed(marks, cuts, True).withColumn("bucket", F.explode(F.sequence("bucket", "last"))).drop("last")
     nulls = [F.lit(None).cast(held.schema[c].dataType).alias(c) for c in [*own, "host", "path"]]
     marks = marks.select("bucket", "__key", F.lit(0).alias("kind"), "__path", "rule", "verdict", *nulls)
     rows = _bucketed(held, cuts, False).select("bucket", "__key", F.lit(1).alias("kind"), "__path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), *own, "host", "path")
-    laid = marks.union(rows).repartition(n, "bucket").sortWithinPartitions("bucket", "__key", "kind", "__path")
+    laid = marks.union(rows).repartitionById(n, "bucket").sortWithinPartitions("bucket", "__key", "kind", "__path")
     out = map_arrow(laid, _sweep(len(keep)), StructType([*held.drop("__key", "__path").schema.fields, *StructType.fromDDL(OUT).fields]))
     return out.toDF(*keep, *added)

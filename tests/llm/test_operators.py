@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import components as cc
 from sluice.llm import exact_dedup, language_id, lm_scoring, media, mixing, ngram_jaccard, piece_lattice, token_counts, token_output, tokens, url_filters
@@ -489,6 +490,16 @@ def test_url_filters(spark):
     assert {r.verdict for r in url_filters.judge(pages, frame.limit(0), ["page_id"]).collect()} == {"allow"}
 
 
+def test_hot_urls_are_dealt_over_buckets(spark):
+    urls = [None] * 3000 + ["http://hot.example.com/en/7"] * 3000 + [f"http://h{i}.net/de/{i}" for i in range(3000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(5)
+    rules = spark.createDataFrame([("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/1", "block"), ("hot.example.com", "", "block")], "host string, path string, verdict string")
+    out = url_filters.judge(pages, rules, ["page_id"], partitions=12)
+    assert Counter((r.rule, r.verdict) for r in out.collect()) == {(None, "allow"): 3000 + 3000 - 1111, ("net/de/1", "block"): 1111, ("example.com/en/7", "allow"): 3000}
+    sizes = sorted(r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert len(sizes) >= 11 and sizes[-1] < 3 * sizes[len(sizes) // 2]
+
+
 # ------------------------------------------------------------------ 10
 
 
