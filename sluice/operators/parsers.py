@@ -274,15 +274,18 @@ def scanned_lines(source: str | None, language: str | None) -> tuple[list[str],
 
 
 def comment_lines(source: str | None, language: str | None) -> tuple[int, int, int]:
-    """(code, comment, blank) lines of a source."""
+    """(code, comment, blank) pieces of a source between its line ends: the one after the last end counts as blank, if empty."""
     code, comment, blank = scanned_lines(source, language)
-    return len(code), comment, blank
+    return len(code), comment, blank + (not source or _BREAK.sub("\n", source).endswith("\n"))
 
 
 def source_lines(df: DataFrame, keep: list[str], source: str, language: str) -> DataFrame:
+    """Lines of code, of comments alone and blank ones of each source; an end of the last line adds none."""
+
     @F.pandas_udf("struct<code:int,comment:int,blank:int>")
     def scan(s: pd.Series, lang: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([comment_lines(a, b) for a, b in zip(s, lang)], columns=["code", "comment", "blank"])
+        rows = [scanned_lines(a, b) for a, b in zip(s, lang)]
+        return pd.DataFrame([(len(code), comment, blank) for code, comment, blank in rows], columns=["code", "comment", "blank"])
 
     return df.select(*keep, scan(source, language).alias("__s")).select(*keep, "__s.*")
 

@@ -79,7 +79,8 @@ def test_mixed_lines():
     assert parsers.comment_lines("/* a */ int x;", "java") == (1, 0, 0)
     assert parsers.comment_lines('s = "/*"; // no block\n"*/"\ny', "c") == (2, 0, 0)
     assert parsers.comment_lines("r'''doc\nmore\n\nend''' + 1", "python") == (1, 2, 1)
-    assert parsers.comment_lines(None, "java") == (0, 0, 0) and parsers.comment_lines("\n\n", None) == (0, 0, 2)
+    assert parsers.scanned_lines(None, "java") == ([], 0, 0) and parsers.scanned_lines("\n\n", None) == ([], 0, 2)
+    assert parsers.comment_lines("", "java") == (0, 0, 1) and parsers.comment_lines("\n\n", None) == (0, 0, 3)
 
 
 def test_duplication_over_the_files_of_a_snapshot(spark):
