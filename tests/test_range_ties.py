@@ -39,3 +39,10 @@ def test_covered_lines(spark, tied):
     sql = joins.QUERIES["covered_lines"][1]
     assert dict(map(tuple, joins.covered_lines(spark, folder).collect())) == want
     assert all(dict(con.execute(sql).fetchall()) == want for _ in range(3))
+
+
+def test_merge_ranges(spark, tied):
+    folder, con, united = tied
+    sql = joins.QUERIES["merge_ranges"][1]
+    assert sorted(map(tuple, joins.merge_ranges(spark, folder).collect())) == sorted(united)
+    assert all(sorted(con.execute(sql).fetchall()) == sorted(united) for _ in range(3))
