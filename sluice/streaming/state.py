@@ -13,7 +13,7 @@ from pyspark.sql.types import StructField, StructType
 
 from .events import run_now
 
-#: The state store that state with a life time needs.
+#: The state store that state with a life time needs; it also keeps large state out of the heap.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -45,11 +45,20 @@ class FirstWins(StatefulProcessor):
 
 
 def first_of_key(df: DataFrame, key: list[str], order: str, ttl_ms: int = 0) -> DataFrame:
-    """A stream with the first row of each key: of the first micro-batch that has the key the least by `order`, a number."""
-    processor = FirstWins(order, df.columns, ttl_ms)
-    processor.kind = df.schema[order].dataType
-    mode = "ProcessingTime" if ttl_ms else "None"
-    return df.groupBy(*key).transformWithStateInPandas(processor, outputStructType=df.schema, outputMode="Append", timeMode=mode)
+    """A stream with the first row of each key: of the first micro-batch that has the key the least by `order`, nulls last.
+
+    Without a life time it is a streaming aggregation in update mode: the state keeps the least row by (time of the micro-batch,
+    order, the other columns), and a key's row is passed on when its first micro-batch is its last so far. With a life time, by
+    which state has to expire, a Python processor takes the keys one by one, in append mode; `order` is a number then."""
+    if ttl_ms:
+        processor = FirstWins(order, df.columns, ttl_ms)
+        processor.kind = df.schema[order].dataType
+        return df.groupBy(*key).transformWithStateInPandas(processor, outputStructType=df.schema, outputMode="Append", timeMode="ProcessingTime")
+    rest = [c for c in df.columns if c not in key and c != order]
+    row = F.struct("__at", F.col(order).isNull().alias("__none"), F.col(order).alias("__order"), *rest)
+    least = df.withColumn("__at", F.current_timestamp()).groupBy(*key).agg(F.min(row).alias("__first"), F.max("__at").alias("__last"))
+    own = {order: F.col("__first.__order")} | {c: F.col(f"__first.{c}") for c in rest} | {c: F.col(c) for c in key}
+    return least.where("__first.__at = __last").select(*[own[c].alias(c) for c in df.columns])
 
 
 def accumulate(target: str, by: list[str], sums: dict[str, str]) -> Callable[[DataFrame, int], None]:
@@ -77,7 +86,8 @@ def run_first_rows(spark: SparkSession, stream: DataFrame, key: list[str], order
     for k, v in needed.items():
         spark.conf.set(k, v)
     try:
-        run_now(first_of_key(stream, key, order, ttl_ms), f"{root}/checkpoint", each=accumulate(f"{root}/added", by, sums))
+        mode = "append" if ttl_ms else "update"
+        run_now(first_of_key(stream, key, order, ttl_ms), f"{root}/checkpoint", each=accumulate(f"{root}/added", by, sums), mode=mode)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

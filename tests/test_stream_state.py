@@ -64,3 +64,18 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert sorted(r.n for r in out["sessions"]) == [2, 3]
     # without keys repeated rows count; row 4's windows had closed at minute 140
     assert sum(r.n for r in out["sliding"]) == 2 * (3 + 1) + 2 * 3
+
+
+def test_first_rows_of_many_keys_without_python(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    # 3000 keys of two rows each; of rows of equal order the least by the other columns, rows without an order last
+    first = [(None, f"k{i}", "g0", 1.0) for i in range(3000)] + [(None if i % 3 == 0 else 7, f"k{i}", "g1", float(i)) for i in range(3000)]
+    first += [(7, f"k{i}", "g2", -1.0) for i in range(3000)]
+    second = [(1, f"k{i}", "g1", 100.0) for i in range(2500, 3500)]
+    for rows in (first, second):
+        stream = feed(spark, root, rows)
+        got = state.run_first_rows(spark, stream, ["k"], "id", ["g"], {"x": "x"}, root)
+    want = {("g1", 2000 + 500, float(sum(i for i in range(3000) if i % 3)) + 500 * 100.0), ("g2", 1000, -1000.0)}
+    assert set(map(tuple, got.select("g", "n", "x").collect())) == want
+    plan = state.first_of_key(stream, ["k"], "id")._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "TransformWithState" in state.first_of_key(stream, ["k"], "id", 1)._jdf.queryExecution().analyzed().toString()
