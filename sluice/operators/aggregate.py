@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+from .ranks import match, place, quantiles
+
 
 def scope_counts(df: DataFrame, dims: list[str], measures: list[Column]) -> DataFrame:
     """Measures overall and by each dim alone, in one aggregation by grouping sets: rows (scope, label, measures...)."""
@@ -42,13 +45,17 @@ def top_n(df: DataFrame, group: list[str], label: str, n: int = 5) -> DataFrame:
 
 def distribution_summary(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """n, mean, median, median of the nonzero, zeros and their percentage, min, max, quartiles and their range."""
-    v = F.col(value).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.where(v.isNotNull()).groupBy(*group).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), q.alias("__q"), F.percentile(F.when(v != 0, v), F.lit(0.5)).alias("median_nonzero"),
-        F.count_if(v == 0).alias("zero_count"), F.min(v).alias("min"), F.max(v).alias("max"),
-    )
-    return out.select(*group, "n", "mean", F.col("__q")[1].alias("median"), "median_nonzero", "zero_count", (F.col("zero_count") * F.lit(100.0) / F.col("n")).alias("zero_percentage"), "min", "max", F.col("__q")[0].alias("q1"), F.col("__q")[2].alias("q3"), (F.col("__q")[2] - F.col("__q")[0]).alias("iqr"))
+    rows = df.select(*group, F.col(value).cast("double").alias("__v")).where("__v is not null")
+    v = F.col("__v")
+    out = written(rows.groupBy(*group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.count_if(v == 0).alias("zero_count"), F.count_if(v < 0).alias("__below"), F.min(v).alias("min"), F.max(v).alias("max")), "summary")
+    last = F.col("n") - 1
+    # ranks of the nonzero values are ranks of all of them, past the zeros from the first positive one on
+    mid = (last - F.col("zero_count")) / F.lit(2.0)
+    past = lambda r: r + F.when(r < F.col("__below"), 0).otherwise(F.col("zero_count"))
+    nonzero = F.when(mid >= 0, F.struct(past(F.floor(mid)).alias("low"), past(F.ceil(mid)).alias("high"), (mid - F.floor(mid)).alias("part")))
+    places = [place(last * F.lit(x)).alias(name) for x, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
+    out = match(out, quantiles(rows, group, "__v", out.select(*group, *places, nonzero.alias("median_nonzero"))), group)
+    return out.select(*group, "n", "mean", "median", "median_nonzero", "zero_count", (F.col("zero_count") * F.lit(100.0) / F.col("n")).alias("zero_percentage"), "min", "max", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 def mean_interval(df: DataFrame, group: list[str], value: str, nonnegative: bool = True) -> DataFrame:
@@ -101,10 +108,12 @@ def capped_limits(df: DataFrame, value: str, low: float = 1.0, high: float = 99.
     none negative start at 0, if from_zero; without a finite value there is no row."""
     v = F.col(value).cast("double")
     finite = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select(v.alias("v"))
-    q, least, most, n = finite.agg(F.percentile("v", F.array(F.lit(low / 100), F.lit(high / 100))), F.min("v"), F.max("v"), F.count("v")).first()
+    least, most, n = finite.agg(F.min("v"), F.max("v"), F.count("v")).first()
     kind = "lower double, upper double, below_count long, above_count long, total_count long, is_clipped boolean"
     if not n:
         return df.sparkSession.createDataFrame([], kind)
+    at = df.sparkSession.range(1).select(*[place(F.lit((n - 1) * (p / 100))).alias(name) for p, name in ((low, "low"), (high, "high"))])
+    q = quantiles(finite, [], "v", at).first()
     zero = from_zero and least >= 0
     lower, upper = (0.0 if zero else q[0]), (0.0 if not zero and most <= 0 else q[1])
     pad = (upper - lower) * 0.06 if upper != lower else max(abs(lower) * 0.08, 0.05)
@@ -123,8 +132,10 @@ def labels_by_share(df: DataFrame, group: str, label: str, share: str, labels: l
 
 
 def numeric_summary(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    v = F.col(value).cast("double")
-    return df.groupBy(*group).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.percentile(v, F.lit(0.5)).alias("median"), F.avg(v).alias("mean"), F.max(v).alias("max"))
+    rows = df.select(*group, F.col(value).cast("double").alias("__v"))
+    out = written(rows.groupBy(*group).agg(F.count("__v").alias("n"), F.min("__v").alias("min"), F.avg("__v").alias("mean"), F.max("__v").alias("max")), "summary")
+    mid = F.when(F.col("n") > 0, place((F.col("n") - 1) * F.lit(0.5)))
+    return match(out, quantiles(rows, group, "__v", out.select(*group, mid.alias("median"))), group).select(*group, "n", "min", "median", "mean", "max")
 
 
 def balance(df: DataFrame, dim: str) -> DataFrame:
