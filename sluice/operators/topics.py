@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,8 +21,13 @@ from ..sources.tables import written
 _LETTERS = bytes(b if 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 #: Features whose gradients are summed in one row: 1024 times the labels.
 BLOCK = 1024
-#: Documents whose scores are computed at once.
+#: Documents whose scores are computed at once, if they have no more than VALUES weights by labels.
 SLICE = 128
+VALUES = 1 << 20
+#: Bytes of text that are Python objects at once.
+TEXT_BYTES = 1 << 20
+#: Terms that a task counts before it passes them on.
+TERMS = 1 << 17
 
 
 def words(text: str | None) -> list[bytes]:
@@ -28,14 +35,37 @@ def words(text: str | None) -> list[bytes]:
     return [w for w in (text or "").encode().translate(_LETTERS).split() if len(w) > 1]
 
 
+def pieces(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `limit` bytes (of lists: elements) of a column, of one row at least: what is made of a slice
+    does not grow with the batch, which has as many rows as the input gives."""
+    c = batch.column(column)
+    size = pc.list_value_length(c) if pa.types.is_list(c.type) else pc.binary_length(c)
+    ends = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def vocabulary(df: DataFrame, text: str, features: int = 20_000, min_df: int = 2) -> DataFrame:
-    """(term, df, number): the terms of most documents, ties by term; `features` rows at most. A task counts a batch's
-    documents by term before the shuffle."""
+    """(term, df, number): the terms of most documents, ties by term; `features` rows at most. A task counts its documents by
+    term before the shuffle, TERMS terms or a slice's more at once."""
 
     def run(batches):
+        found = Counter()
         for b in batches:
-            found = Counter(w for t in b.column(0).to_pylist() for w in set(words(t)))
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "df"])
+            for piece in pieces(b, 0, TEXT_BYTES):
+                for t in piece.column(0).to_pylist():
+                    found.update(set(words(t)))
+                if len(found) > TERMS:
+                    yield counted(found)
+                    found.clear()
+        yield counted(found)
+
+    def counted(found):
+        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "df"])
 
     counts = df.select(text).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") >= min_df)
     top = counts.orderBy(F.desc("df"), "term").limit(features)
@@ -52,14 +82,15 @@ def tfidf_rows(df: DataFrame, keep: list[str], text: str, vocab: DataFrame, n: i
 
     def run(batches):
         known = shared.value
-        for b in batches:
-            terms, weights = [], []
-            for t in b.column(b.num_columns - 1).to_pylist():
-                own = sorted((known[w][0], (1 + math.log(c)) * known[w][1]) for w, c in Counter(words(t)).items() if w in known)
-                norm = math.sqrt(math.fsum(x * x for _, x in own))
-                terms.append([i for i, _ in own])
-                weights.append([x / norm for _, x in own])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(terms, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], names=schema.names)
+        for whole in batches:
+            for b in pieces(whole, whole.num_columns - 1, TEXT_BYTES):
+                terms, weights = [], []
+                for t in b.column(b.num_columns - 1).to_pylist():
+                    own = sorted((known[w][0], (1 + math.log(c)) * known[w][1]) for w, c in Counter(words(t)).items() if w in known)
+                    norm = math.sqrt(math.fsum(x * x for _, x in own))
+                    terms.append(np.array([i for i, _ in own], np.int32))
+                    weights.append(np.array([x / norm for _, x in own], float))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(terms, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], names=schema.names)
 
     return held.mapInArrow(run, schema)
 
@@ -98,8 +129,8 @@ def _pass(rows: DataFrame, names: list[str], size: int, coefficients: np.ndarray
         w, balance = shared.value
         total = np.zeros_like(w)
         for whole in batches:
-            for lo in range(0, whole.num_rows, SLICE):
-                b = whole.slice(lo, SLICE)
+            some = (whole.slice(lo, SLICE) for lo in range(0, whole.num_rows, SLICE))
+            for b in (p for few in some for p in pieces(few, 0, VALUES // max(1, len(names)))):
                 hits = np.zeros((b.num_rows, len(names)), bool)
                 for i, own in enumerate(b.column(2).to_pylist()):
                     for x in own or ():
