@@ -80,10 +80,11 @@ def interval_overlap(left: DataFrame, right: DataFrame, by: list[str], bin_size:
 
 
 def merge_ranges(df: DataFrame, by: list[str], start: str = "start", end: str = "end", gap: int = 1) -> DataFrame:
-    """Closed ranges united where they overlap or touch (gap 1 joins neighbours)."""
+    """Closed ranges united where they overlap or touch (gap 1 joins neighbours). Equal ranges count once, so that start and
+    end order the rows of both windows without ties, and a window's task holds distinct ranges only."""
     w = W.partitionBy(*by).orderBy(start, end)
     before = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    flagged = df.withColumn("__new", F.when(F.col(start) <= before + gap, 0).otherwise(1))
+    flagged = df.select(*by, start, end).distinct().withColumn("__new", F.when(F.col(start) <= before + gap, 0).otherwise(1))
     island = flagged.withColumn("__island", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return island.groupBy(*by, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 

@@ -109,9 +109,9 @@ def domain_rollup(spark, d):
 _LEVELS = """ids AS (SELECT c_custkey AS o_custkey, 'id:' || c_mktsegment AS domain FROM customer WHERE c_custkey % 2 = 0),
  keys AS (SELECT c_custkey % 100 AS repo, 'key:' || min(c_mktsegment) AS domain FROM customer GROUP BY ALL), o AS (SELECT o_orderkey, o_custkey, o_custkey % 100 AS repo FROM orders)"""
 _RANGES = "r AS (SELECT user_id, event_id, event_id % 400 AS s, event_id % 400 + event_id % 13 AS e FROM events)"
-# of equal ranges the one that begins an island comes first: the two windows are sorted apart, and may order equal rows differently
-_ISLANDS = f"""{_RANGES}, f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM r),
- i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, e, new DESC ROWS UNBOUNDED PRECEDING) AS island FROM f), m AS (SELECT user_id, min(s) AS s, max(e) AS e FROM i GROUP BY user_id, island)"""
+# equal ranges count once: the two windows are sorted apart, and may order equal rows differently
+_ISLANDS = f"""{_RANGES}, u AS (SELECT DISTINCT user_id, s, e FROM r), f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM u),
+ i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM f), m AS (SELECT user_id, min(s) AS s, max(e) AS e FROM i GROUP BY user_id, island)"""
 
 QUERIES = {
     "dedup_first_row": (dedup_first_row, """WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_partkey % 100) || '#' || CASE WHEN l_suppkey % 10 <> 3 THEN l_suppkey % 10 END AS key FROM lineitem),

@@ -46,3 +46,22 @@ def test_merge_ranges(spark, tied):
     sql = joins.QUERIES["merge_ranges"][1]
     assert sorted(map(tuple, joins.merge_ranges(spark, folder).collect())) == sorted(united)
     assert all(sorted(con.execute(sql).fetchall()) == sorted(united) for _ in range(3))
+
+
+def test_windows_order_no_equal_ranges(spark, tied):
+    folder, con, _ = tied
+    given, apart = con.execute("SELECT count(*), count(DISTINCT (user_id, event_id % 400, event_id % 13)) FROM events").fetchone()
+    assert apart < given
+    assert con.execute(f"WITH {joins._ISLANDS} SELECT count(*) FROM i").fetchone() == (apart,)
+    plan = joins.merge_ranges(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [user_id" in plan.split("Window")[-1]
+
+
+def test_odd_events(spark, tmp_path):
+    """Nulls, negatives and repeats: query and SQL agree."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM (VALUES (NULL, 1), (NULL, 1), (5, NULL), (5, NULL), (-399, 1), (-399, 1), (-7, 2), (-393, 2), (18, 2), (18, 2), (31, 2), (418, 2)) t(event_id, user_id)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    for name in ("merge_ranges", "covered_lines"):
+        query, sql = joins.QUERIES[name][:2]
+        assert sorted(map(repr, map(tuple, query(spark, str(tmp_path)).collect()))) == sorted(map(repr, con.execute(sql).fetchall()))
