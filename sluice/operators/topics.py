@@ -1,16 +1,17 @@
 """The topic model at scale: a vocabulary, exact sublinear TF-IDF rows without a shuffle, and logistic regressions of all
-labels at once, each step one pass whose gradients are summed as one matrix."""
+labels, group by group: a group's labels share each pass, whose gradients are summed as one matrix, until all have converged."""
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, deque
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,10 +20,18 @@ from pyspark.sql.types import StructType
 from ..sources.tables import written
 
 _LETTERS = bytes(b if 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-#: Features whose gradients are summed in one row: 1024 times the labels.
+#: Features whose gradients are summed in one row: 1024 times the labels of a group.
 BLOCK = 1024
-#: Documents whose scores are computed at once, if they have no more than VALUES weights by labels.
-SLICE = 128
+#: Coefficients of a group of labels that are fitted together, and its labels; every label is in a group, of one label at least.
+MODEL = 1 << 20
+LABELS = 1024
+#: Steps that a label's fit remembers.
+MEMORY = 12
+#: Weights and documents in one row of a packed table, and bytes of its row groups.
+PACK = 1 << 15
+PACK_ROWS = 4096
+ROW_GROUP = 4 << 20
+#: Scores that are computed at once.
 VALUES = 1 << 20
 #: Bytes of text that are Python objects at once.
 TEXT_BYTES = 1 << 20
@@ -77,20 +86,25 @@ def tfidf_rows(df: DataFrame, keep: list[str], text: str, vocab: DataFrame, n: i
     over the vocabulary, of length 1. The vocabulary goes to every task: it has a bounded number of terms."""
     held = df.select(*keep, F.col(text).alias("__text"))
     schema = StructType([*held.schema.fields[:-1], *StructType.fromDDL("terms array<int>, weights array<double>").fields])
-    rows = {r["term"].encode(): (r["number"], math.log((1 + n) / (1 + r["df"])) + 1) for r in vocab.collect()}
-    shared = df.sparkSession.sparkContext.broadcast(rows)
+    found = vocab.collect()
+    idf = np.zeros(1 + max((r["number"] for r in found), default=0))
+    for r in found:
+        idf[r["number"]] = math.log((1 + n) / (1 + r["df"])) + 1
+    shared = df.sparkSession.sparkContext.broadcast(({r["term"].encode(): r["number"] for r in found}, idf))
 
     def run(batches):
-        known = shared.value
+        known, idf = shared.value
         for whole in batches:
             for b in pieces(whole, whole.num_columns - 1, TEXT_BYTES):
-                terms, weights = [], []
-                for t in b.column(b.num_columns - 1).to_pylist():
-                    own = sorted((known[w][0], (1 + math.log(c)) * known[w][1]) for w, c in Counter(words(t)).items() if w in known)
-                    norm = math.sqrt(math.fsum(x * x for _, x in own))
-                    terms.append(np.array([i for i, _ in own], np.int32))
-                    weights.append(np.array([x / norm for _, x in own], float))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(terms, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], names=schema.names)
+                own = [[x for x in map(known.get, words(t)) if x is not None] for t in b.column(b.num_columns - 1).to_pylist()]
+                key = np.concatenate([np.array(x, np.int64) + i * len(idf) for i, x in enumerate(own)])
+                key, count = np.unique(key, return_counts=True)
+                doc, number = np.divmod(key, len(idf))
+                raw = (1 + np.log(count)) * idf[number]
+                weight = raw / np.sqrt(np.bincount(doc, raw * raw, b.num_rows))[doc]
+                ends = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (number.astype(np.int32), weight)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *lists], names=schema.names)
 
     return held.mapInArrow(run, schema)
 
@@ -120,83 +134,160 @@ def top_terms(rows: DataFrame, keep: list[str], vocab: DataFrame, k: int) -> Dat
     return named.withColumn("turn", turn).where(F.col("turn") <= k).select(*keep, "term", "weight")
 
 
-def _pass(rows: DataFrame, names: list[str], size: int, coefficients: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """The gradient (features and intercept by labels) of the weighted mean log-loss, in one pass over the rows."""
-    shared = rows.sparkSession.sparkContext.broadcast((coefficients, weights))
+def _packed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The rows' terms and weights as a written table of arrays in bytes: lengths, terms, weights, and by pairs the row in the pack
+    and the label's position in names. The passes read it again and again."""
     place = {x: i for i, x in enumerate(names)}
 
     def run(batches):
-        w, balance = shared.value
-        total = np.zeros_like(w)
         for whole in batches:
-            some = (whole.slice(lo, SLICE) for lo in range(0, whole.num_rows, SLICE))
-            for b in (p for few in some for p in pieces(few, 0, VALUES // max(1, len(names)))):
-                hits = np.zeros((b.num_rows, len(names)), bool)
-                for i, own in enumerate(b.column(2).to_pylist()):
-                    for x in own or ():
-                        if x in place:
-                            hits[i, place[x]] = True
-                lengths = np.array([len(x) for x in b.column(0)])
-                at = np.concatenate([np.asarray(x.values) for x in b.column(0)] or [np.zeros(0)]).astype(np.int64)
-                value = np.concatenate([np.asarray(x.values) for x in b.column(1)] or [np.zeros(0)]).astype(float)
-                row = np.repeat(np.arange(b.num_rows), lengths)
-                score = np.tile(w[-1], (b.num_rows, 1))
-                full = np.flatnonzero(lengths)
-                if len(full):
-                    score[full] += np.add.reduceat(w[at] * value[:, None], (np.cumsum(lengths) - lengths)[full])
-                error = (1 / (1 + np.exp(-score)) - hits) * np.where(hits, balance[0], balance[1])
-                total[-1] += error.sum(0)
-                if len(full):
-                    order = np.argsort(at, kind="stable")
-                    first = np.flatnonzero(np.diff(at[order], prepend=-1))
-                    total[at[order][first]] += np.add.reduceat(error[row[order]] * value[order][:, None], first)
-        for k in range(0, size + 1, BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + BLOCK].tobytes()], pa.binary())], names=["block", "part"])
+            some = (whole.slice(lo, PACK_ROWS) for lo in range(0, whole.num_rows, PACK_ROWS))
+            for b in (p for few in some for p in pieces(few, 0, PACK)):
+                hits = [(i, place[x]) for i, own in enumerate(b.column(2).to_pylist()) for x in dict.fromkeys(own or ()) if x in place]
+                row, label = (np.array([h[k] for h in hits], np.int32) for k in (0, 1))
+                lengths = pc.list_value_length(b.column(0)).to_numpy(zero_copy_only=False).astype(np.int32)
+                terms, weights = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in (0, 1))
+                parts = [lengths, terms.astype(np.int32), weights.astype(float), row, label]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["lengths", "terms", "weights", "row", "label"])
+
+    packs = rows.select("terms", "weights", "labels").mapInArrow(run, "lengths binary, terms binary, weights binary, row binary, label binary")
+    return written(packs, "packs", **{"parquet.block.size": ROW_GROUP})
+
+
+def _pass(packs: DataFrame, columns: np.ndarray, points: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """For each label (columns: its position in the packs' names) the gradient of the weighted mean log-loss at its point (features
+    and intercept), and that loss behind it, in one pass. Parts are added in the order of the tasks."""
+    shared = packs.sparkSession.sparkContext.broadcast((columns, points, weights))
+
+    def run(batches):
+        columns, points, (hit_weight, miss_weight) = shared.value
+        size = points.shape[1] - 1
+        total = np.zeros((len(points), size + 2))
+        turn = np.argsort(columns)
+        for batch in batches:
+            for pack in zip(*batch.columns):
+                lengths, at, value, row, label = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(pack, (np.int32, np.int32, float, np.int32, np.int32)))
+                where = turn[np.minimum(np.searchsorted(columns, label, sorter=turn), len(turn) - 1)]
+                ours = columns[where] == label
+                hits = np.zeros((len(points), len(lengths)), bool)
+                hits[where[ours], row[ours]] = True
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                for k, (w, hit) in enumerate(zip(points, hits)):
+                    score = np.bincount(doc, w[at] * value, len(lengths)) + w[-1]
+                    against = np.where(hit, -score, score)
+                    loss = np.logaddexp(0, against)
+                    weight = np.where(hit, hit_weight[k], miss_weight[k])
+                    error = np.where(hit, -weight, weight) * np.exp(against - loss)
+                    total[k, :size] += np.bincount(at, error[doc] * value, size)
+                    total[k, size] += error.sum()
+                    total[k, size + 1] += (weight * loss).sum()
+        task = TaskContext.get().partitionId()
+        for k in range(0, size + 2, BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([total[:, k : k + BLOCK].tobytes()], pa.binary())], names=["block", "task", "part"])
 
     def added(key, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [key[0]], "part": [sum(np.frombuffer(x) for x in frame["part"]).tobytes()]})
+        ordered = frame.sort_values("task")
+        return pd.DataFrame({"block": [key[0]], "task": [ordered["task"].iloc[0]], "part": [sum(np.frombuffer(x) for x in ordered["part"]).tobytes()]})
 
-    parts = rows.select("terms", "weights", "labels").mapInArrow(run, "block int, part binary")
+    kinds = "block int, task int, part binary"
+    parts = packs.mapInArrow(run, kinds)
     # a tree of two levels: no task adds the parts of all others
-    salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
-    some = salted.groupBy("block", "salt").applyInPandas(lambda key, frame: added(key, frame), "block int, part binary")
-    whole = some.groupBy("block").applyInPandas(lambda key, frame: added(key, frame), "block int, part binary")
-    out = np.zeros((size + 1, len(names)))
+    some = parts.withColumn("salt", F.col("task") % 16).groupBy("block", "salt").applyInPandas(lambda key, frame: added(key, frame), kinds)
+    whole = some.groupBy("block").applyInPandas(lambda key, frame: added(key, frame), kinds)
+    out = np.zeros((len(points), points.shape[1] + 1))
     for r in whole.collect():
-        block = np.frombuffer(r["part"]).reshape(-1, len(names))
-        out[r["block"] : r["block"] + len(block)] = block
-    return out / n
-
-
-def fit_labels(rows: DataFrame, names: list[str], size: int, regularization: float = 1e-3, iterations: int = 50) -> np.ndarray:
-    """Balanced logistic regressions of all labels (rows: terms, weights, labels: an array of names): an array of size + 1
-    by labels, the last row the intercepts. Accelerated gradient steps, each one pass; a label's momentum starts anew when it
-    turns against its gradient. Rows have length 1, and a label's weights mean 1, so that the step 1 / (1/2 + regularization)
-    is safe."""
-    n = rows.count()
-    have = {r["x"]: r["count"] for r in rows.select(F.explode(F.array_distinct("labels")).alias("x")).where(F.col("x").isin(names)).groupBy("x").count().collect()}
+        block = np.frombuffer(r["part"]).reshape(len(points), -1)
+        out[:, r["block"] : r["block"] + block.shape[1]] = block
+    shared.unpersist()
+    return out / max(n, 1)
+
+
+def _descent(size: int, step: float, tolerance: float) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+    """Limited-memory BFGS of one convex function: yields points, is sent each one's value and gradient, and returns the point at
+    which the gradient is no longer than the tolerance, or from which no step leads to a lower value that doubles can tell."""
+    at = np.zeros(size)
+    value, gradient = yield at
+    pairs: deque = deque(maxlen=MEMORY)
+    while math.sqrt(gradient @ gradient) > tolerance:
+        way, used = gradient.copy(), []
+        for moved, turned, r in reversed(pairs):
+            used.append(r * (moved @ way))
+            way -= used[-1] * turned
+        way *= 1 / (pairs[-1][2] * (pairs[-1][1] @ pairs[-1][1])) if pairs else step
+        for (moved, turned, r), x in zip(pairs, reversed(used)):
+            way += (x - r * (turned @ way)) * moved
+        slope, length = gradient @ way, 1.0
+        while True:
+            new = at - length * way
+            new_value, new_gradient = yield new
+            if new_value <= value - 1e-4 * length * slope:
+                break
+            length /= 2
+            if length * slope <= np.finfo(float).eps * abs(value):
+                return at
+        moved, turned = new - at, new_gradient - gradient
+        if moved @ turned > 0:
+            pairs.append((moved, turned, 1 / (moved @ turned)))
+        at, value, gradient = new, new_value, new_gradient
+    return at
+
+
+def fit_groups(rows: DataFrame, names: list[str], size: int, regularization: float = 1e-3, iterations: int | None = None, tolerance: float = 1e-7) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Balanced logistic regressions of all labels (rows: terms, weights, labels: an array of names), in groups of labels that are
+    fitted one after another: (names, an array of size + 1 by them, the last row the intercepts). A step of a group is one pass
+    over the rows, in which each of its labels is at a point of its own, until the gradient of each is within the tolerance, or
+    for as many passes as `iterations` says. The driver holds one group's coefficients. Rows have length 1, and a label's
+    weights mean 1, so that the first step, 1 / (1/2 + regularization), is safe."""
+    n, packs = rows.count(), _packed(rows, names)
+    have = {r["x"]: r["count"] for r in rows.select(F.explode(F.array_distinct("labels")).alias("x")).groupBy("x").count().collect()}
     pos = np.array([have.get(x, 0) for x in names], float)
     weights = np.stack([n / (2 * np.maximum(pos, 1)), n / (2 * np.maximum(n - pos, 1))])
-    at = ahead = np.zeros((size + 1, len(names)))
-    speed = np.ones(len(names))
-    for _ in range(iterations):
-        gradient = _pass(rows, names, size, ahead, weights, n)
-        gradient[:-1] += regularization * ahead[:-1]
-        new = ahead - gradient / (0.5 + regularization)
-        speed = np.where(((new - at) * gradient).sum(0) > 0, 1.0, speed)
-        faster = (1 + np.sqrt(1 + 4 * speed**2)) / 2
-        ahead, at, speed = new + (speed - 1) / faster * (new - at), new, faster
-    return at
+    together = max(1, min(LABELS, MODEL // (size + 1)))
+    for lo in range(0, len(names), together):
+        group = names[lo : lo + together]
+        runs = [_descent(size + 1, 1 / (0.5 + regularization), tolerance) for _ in group]
+        points = np.stack([next(r) for r in runs])
+        left, passes = np.arange(len(group)), 0
+        while len(left) and (iterations is None or passes < iterations):
+            found, passes = _pass(packs, lo + left, points[left], weights[:, lo + left], n), passes + 1
+            ended = set()
+            for k, own in zip(left, found):
+                own[:size] += regularization * points[k, :size]
+                loss = own[-1] + regularization / 2 * (points[k, :size] @ points[k, :size])
+                try:
+                    points[k] = runs[k].send((loss, own[:-1]))
+                except StopIteration as e:
+                    points[k] = e.value
+                    ended.add(k)
+            left = np.array([k for k in left if k not in ended], int)
+        yield group, points.T
+
+
+def fit_labels(rows: DataFrame, names: list[str], size: int, regularization: float = 1e-3, iterations: int | None = None) -> np.ndarray:
+    """The coefficients of `fit_groups` for all names as one array; it has to fit the driver. `fit_groups` has no such bound."""
+    return np.hstack([np.zeros((size + 1, 0)), *[model for _, model in fit_groups(rows, names, size, regularization, iterations)]])
 
 
 def label_scores(rows: DataFrame, keep: list[str], names: list[str], coefficients: np.ndarray) -> DataFrame:
     """(keep, topic, score) of each row and label."""
-    shared = rows.sparkSession.sparkContext.broadcast(coefficients)
+    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(coefficients.T))
+    held = rows.select(*keep, "terms", "weights")
+    schema = StructType([*held.schema.fields[:-2], *StructType.fromDDL("topic string, score double").fields])
 
-    @F.pandas_udf("array<double>")
-    def score(terms: pd.Series, weights: pd.Series) -> pd.Series:
-        w = shared.value
-        return pd.Series([(1 / (1 + np.exp(-(w[-1] + np.asarray(v, float) @ w[np.asarray(t, np.int64)])))).tolist() for t, v in zip(terms, weights)])
+    def run(batches):
+        model, topics, most = shared.value, pa.array(names, pa.string()), max(1, VALUES // max(1, len(names)))
+        for whole in batches:
+            some = (whole.slice(lo, most) for lo in range(0, whole.num_rows, most))
+            for b in (p for few in some for p in pieces(few, few.num_columns - 2, VALUES)):
+                lengths = pc.list_value_length(b.column(b.num_columns - 2)).to_numpy(zero_copy_only=False)
+                at, value = (b.column(b.num_columns - k).flatten().to_numpy(zero_copy_only=False) for k in (2, 1))
+                doc = np.repeat(np.arange(b.num_rows), lengths)
+                scores = np.empty((b.num_rows, len(names)))
+                for k, w in enumerate(model):
+                    z = np.bincount(doc, w[at] * value, b.num_rows) + w[-1]
+                    scores[:, k] = np.exp(-np.logaddexp(0, -z))
+                row, topic = np.divmod(np.arange(scores.size), max(1, len(names)))
+                own = [c.take(pa.array(row)) for c in b.columns[:-2]]
+                yield pa.RecordBatch.from_arrays([*own, topics.take(pa.array(topic)), pa.array(scores.ravel())], names=schema.names)
 
-    pairs = F.arrays_zip(F.lit(names).alias("topic"), score("terms", "weights").alias("score"))
-    return rows.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.topic", "p.score")
+    return held.mapInArrow(run, schema)

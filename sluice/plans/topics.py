@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import topics as T
@@ -23,12 +26,13 @@ def tfidf_top_terms(spark, d):
 
 
 def topic_scores(spark, d):
-    """Scores of all languages for each document, by a model of all labels fitted on the labelled ones."""
+    """Scores of all languages for each document, by a model of all labels fitted on the labelled ones until it has converged."""
     rows, vocab = _rows(spark, d)
     rows = written(rows.withColumn("labels", F.when(F.col("lang").isNotNull(), F.array("lang")).otherwise(F.expr("array()").cast("array<string>"))), "tfidf")
-    names = sorted(r[0] for r in rows.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(220).collect())
-    model = T.fit_labels(rows.where("lang IS NOT NULL"), names, vocab.count(), iterations=12)
-    return T.label_scores(rows, ["doc_id"], names, model).withColumn("score", F.round("score", 6))
+    names = sorted(r[0] for r in rows.where("lang IS NOT NULL").select("lang").distinct().collect())
+    models = T.fit_groups(rows.where("lang IS NOT NULL"), names, vocab.count())
+    scores = [T.label_scores(rows, ["doc_id"], group, model) for group, model in models] or [rows.select("doc_id", F.lit("").alias("topic"), F.lit(0.0).alias("score")).where("false")]
+    return reduce(DataFrame.unionAll, scores).withColumn("score", F.round("score", 6))
 
 
 QUERIES = {

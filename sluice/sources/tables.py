@@ -22,8 +22,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"{name}-")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options) -> DataFrame:
     """df as a Parquet table of a new shared folder: what reads it does not compute it again, nor does a retry."""
     path = shared_folder(df.sparkSession, f"sluice-{name}")
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -99,3 +99,45 @@ def test_pieces_hold_every_row_once():
         assert [t for p in cut for t in p.column(0).to_pylist()] == texts
         assert [p.num_rows for p in cut] == [2, 1, 4]
     assert not list(topics.pieces(batch.slice(0, 0), 0, 10))
+
+
+def test_every_label_is_fitted_until_it_has_converged(spark, tmp_path, monkeypatch):
+    """The query on 230 languages, more than a group holds: scores of all of them, as Newton's method finds them."""
+    from sluice.plans.topics import QUERIES
+
+    rng = random.Random(9)
+    letters = [f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrst"]
+    data = [(i, " ".join(rng.choices(letters[i % 230 : i % 230 + 2] + letters[:6], k=12)), f"l{i % 230:03}") for i in range(500)]
+    data += [(500, None, "l007"), (501, "aiq aiq ajr", None), (502, "", None)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(topics, "LABELS", 150, raising=False)
+    got = {(r.doc_id, r.topic): r.score for r in QUERIES["topic_scores"][0](spark, str(tmp_path)).collect()}
+    names = [f"l{i:03}" for i in range(230)]
+    assert set(got) == {(i, x) for i, _, _ in data for x in names}
+    bags = [Counter((t or "").split()) for _, t, _ in data]
+    dfs = Counter(w for b in bags for w in b)
+    terms = [w for w in dfs if dfs[w] >= 2]
+    rows = np.array([[(1 + math.log(b[w])) * (math.log((1 + len(data)) / (1 + dfs[w])) + 1) if w in b else 0 for w in terms] + [0.0] for b in bags])
+    rows /= np.maximum(np.sqrt((rows * rows).sum(1, keepdims=True)), 1e-300)
+    rows[:, -1] = 1
+    known = np.array([x is not None for _, _, x in data])
+    own, ridge = rows[known], np.diag([1e-3] * len(terms) + [0.0])
+    for x in ("l000", "l007", "l149", "l150", "l229"):
+        y = np.array([lang == x for _, _, lang in data])[known]
+        weight = np.where(y, len(y) / (2 * y.sum()), len(y) / (2 * (~y).sum())) / len(y)
+        w = np.zeros(len(terms) + 1)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-own @ w))
+            w -= np.linalg.solve((own.T * (weight * p * (1 - p))) @ own + ridge, own.T @ (weight * (p - y)) + ridge @ w)
+        assert [got[i, x] for i, _, _ in data] == pytest.approx((1 / (1 + np.exp(-rows @ w))).tolist(), abs=2e-5)
+
+
+def test_one_label_or_none(spark):
+    data = [(i, [0, 1], [0.6, 0.8], ["a"] if i else None) for i in range(5)]
+    rows = spark.createDataFrame(data, "id int, terms array<int>, weights array<double>, labels array<string>")
+    model = topics.fit_labels(rows, ["none", "a"], 2)
+    by = {(r.id, r.topic): r.score for r in topics.label_scores(rows, ["id"], ["none", "a"], model).collect()}
+    assert len(by) == 10 and all(by[i, "none"] < 0.01 and abs(by[i, "a"] - 0.5) < 1e-4 for i in range(5))
+    assert topics.label_scores(rows, ["id"], [], topics.fit_labels(rows, [], 2)).count() == 0
+    alone = topics.fit_labels(rows.where("id > 0"), ["a"], 2)
+    assert topics.label_scores(rows, ["id"], ["a"], alone).where("score > 0.99").count() == 5
